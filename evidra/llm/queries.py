@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.common import table
+from evidra.llm.embed_dedup import near_vectors
 from evidra.llm.mixing import mix_sources
+from evidra.llm.quality_classifier import classify
+from evidra.llm.quality_rules import judge_quality
 from evidra.llm.token_counts import count_tokens
 from evidra.llm.token_files import token_files
 from evidra.llm.url_filter import ALLOW, BLOCK, filter_urls
@@ -23,6 +26,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2, f"tokens-{uuid.uuid4().hex}")
 
@@ -35,14 +46,21 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
 }
 
