@@ -12,6 +12,7 @@ from evidra.llm.embed_dedup import near_vectors
 from evidra.llm.mixing import mix_sources
 from evidra.llm.quality_classifier import classify
 from evidra.llm.quality_rules import judge_quality
+from evidra.llm.sentence_pieces import encode_documents
 from evidra.llm.token_counts import count_tokens
 from evidra.llm.token_files import token_files
 from evidra.llm.url_filter import ALLOW, BLOCK, filter_urls
@@ -30,6 +31,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_sentence_pieces": op2_sentence_pieces,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
