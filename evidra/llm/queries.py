@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.common import table
 from evidra.llm.embed_dedup import near_vectors
+from evidra.llm.jaccard_join import near_documents
 from evidra.llm.mixing import mix_sources
 from evidra.llm.quality_classifier import classify
 from evidra.llm.quality_rules import judge_quality
@@ -47,6 +48,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
