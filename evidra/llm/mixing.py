@@ -8,6 +8,12 @@ the prefix sums at exactly that number of words.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +40,18 @@ def fill_targets(sizes: dict, weights: dict, share: float, most: float) -> dict:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, rows_per_range: int = 50_000, max_sources: int = 1_000_000, carry: tuple = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 11, rows_per_range: int = 2_000, max_sources: int = 1_000_000, carry: bool = False) -> DataFrame:
     """Words taken of each document so that each source meets its target.
 
     Sources in code point order (null last) weigh ``weights``, repeating. Returns doc_id, source, size, source_size, target,
-    taken, and the ``carry`` columns. A source's taken words differ from its target by less than one; the document at the cut gives
+    taken, and with ``carry`` the whole row as a struct ``row``. A source's taken words differ from its target by less than one; the document at the cut gives
     the first words only. Null text has size 0; a source without words has target 0; repeated rows are separate documents,
     and equal rows swap places freely; other columns are not read. Only one row for each source reaches the driver (at most ``max_sources``).
     """
     spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("key")
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key, *carry), "mix-sizes")
+    rows_too = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * carry
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key, *rows_too), "mix-sizes")
     rows = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -65,4 +72,28 @@ def mix_sources(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5,
     placed = by.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, F.col("s").eqNullSafe(F.col("source")) & (F.col("p") == F.col("span")))
     rest = F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("base") - F.col("inside")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"), *carry)
+    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).alias("taken"), *["row"] * carry)
+
+
+_WORD = re.compile(WORD)
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: each document as often as it is taken whole, and at a source's cut once more with its first words only (``n_chars``, if there, follows)."""
+    columns = docs.columns
+
+    def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, taken = (b.column(c).to_numpy() for c in ("size", "taken"))
+            whole, rest = taken // np.maximum(size, 1), taken % np.maximum(size, 1)
+            rows = pa.RecordBatch.from_arrays(b.column("row").flatten(), columns)
+            yield rows.take(pa.array(np.repeat(np.arange(b.num_rows), whole)))
+            for i in np.flatnonzero(rest):
+                row = rows.slice(int(i), 1).to_pylist()[0]
+                words = itertools.islice(_WORD.finditer(row["text"]), int(rest[i]))
+                row["text"] = row["text"][: max(m.end() for m in words)]
+                if "n_chars" in row:
+                    row["n_chars"] = len(row["text"])
+                yield pa.RecordBatch.from_pylist([row], rows.schema)
+
+    return mix_sources(docs, carry=True, **params).select("size", "taken", "row").mapInArrow(repeat, docs.schema)

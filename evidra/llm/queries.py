@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evidra.llm.common import table
 from evidra.llm.embed_dedup import near_vectors
 from evidra.llm.jaccard_join import near_documents
+from evidra.llm.lm_score import score_texts
 from evidra.llm.mixing import mix_sources
 from evidra.llm.quality_classifier import classify
 from evidra.llm.quality_rules import judge_quality
@@ -48,6 +49,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_files": op4_token_files,
     "op5_token_counts": op5_token_counts,
+    "op6_lm_score": op6_lm_score,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
