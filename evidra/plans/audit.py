@@ -10,11 +10,11 @@ from evidra.operators.issues import audit_status, row_rules
 from evidra.plans.tables import CASES, cases, rounded, table
 
 TERMS = ["mit license", "password", "idiot", "all rights reserved"]
-_SPLIT = F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b").otherwise("c")
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").withColumn("split", _SPLIT)
+    split = F.when(F.col("doc_id") % 3 == 0, "a").when(F.col("doc_id") % 3 == 1, "b").otherwise("c")
+    return table(spark, sf_dir, "documents").withColumn("split", split)
 
 
 def c1_canonical_cases(spark, sf_dir):
