@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.common import lower_ascii, written
+from evidra.llm.words import mix
 
 BLOCK, ALLOW = "block", "allow"
 
@@ -51,9 +52,10 @@ def hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key), F.xxhash64(key, F.lit(17))]
 
 
-def _position(h1, h2, i: int, level: int, bits: int):
-    """Same arithmetic for numpy arrays (uint64) and columns (see ``_positions``)."""
-    return (h1 + h2 * np.uint64(2 * i + 1) + np.uint64(level) * h2) % np.uint64(bits)
+def _position(h1: np.ndarray, h2: np.ndarray, i: int, level: int, bits: int) -> np.ndarray:
+    """Place of probe i; each level mixes both hashes anew, so keys that meet in one part in the next."""
+    a, b = mix(h1 + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)), mix(h2 ^ np.uint64(level)) | np.uint64(1)
+    return (a + np.uint64(i) * b) % np.uint64(bits)
 
 
 def contains(level: Level, number: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
