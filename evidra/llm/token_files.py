@@ -1,9 +1,9 @@
 """Token-id files: whole documents' ids in ascending id order, coded by a static range asymmetric numeral system (``rans``).
 
-One pass counts ids over all documents for the shared table; a second sorts the texts by range of id, encodes
-them and writes frames. A frame holds whole documents (their ids, lengths and coded blocks) and its place, so any
-frame, and any block in it, can be decoded by itself. Frames are rows of a Parquet table, whose commit protocol covers lost
-executors. Reading needs the frames and the table only.
+The texts are sorted by range of id and encoded once, to frames of whole documents with plain ids; these give the counts
+of ids over all documents for the shared table, and are then coded frame by frame. A frame holds its documents' ids and lengths, their coded
+blocks, and its place, so any frame, and any block in it, can be decoded by itself. Frames are rows of a Parquet table, whose commit
+protocol covers lost executors. Reading needs the coded frames and the counts only.
 """
 
 from __future__ import annotations
@@ -33,61 +33,82 @@ def _ids(batch: pa.RecordBatch, path: str, end_id: int) -> list[bytes]:
     return [b"".join(map(tokens.ids.__getitem__, words)) + end for words in texts]
 
 
-def count_ids(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents: at most one row for each id and task is shuffled, one for each id comes back."""
+def _narrow(ids: bytes) -> bytes:
+    """Plain ids of a frame: a byte of width, then ids of 2 or 4 bytes."""
+    a = np.frombuffer(ids, "<u4")
+    return b"\x02" + a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\x04" + ids
+
+
+def _plain(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1)
+
+
+def plain_frames(docs: DataFrame, path: str, end_id: int, frame_ids: int) -> DataFrame:
+    """Frames with plain ids, sorted by id over all partitions."""
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, before, held, ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+
+        def frame() -> pa.RecordBatch:
+            lengths = [len(x) // 4 for x in held]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq]), pa.array([before]), pa.array([sum(lengths)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([_narrow(b"".join(held))])], ["part", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
+
+        for b in slices(batches):
+            for doc_id, x in zip(b.column("doc_id").to_pylist(), _ids(b, path, end_id), strict=True):
+                held.append(x)
+                ids.append(doc_id)
+                size += len(x) // 4
+                if size >= frame_ids:
+                    yield frame()
+                    seq, before, held, ids, size = seq + 1, before + size, [], [], 0
+        if held:
+            yield frame()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    return ordered.select("doc_id", "text").mapInArrow(frames, FRAMES)
+
+
+def count_ids(plain: DataFrame) -> np.ndarray:
+    """How often each id occurs: at most one row for each id and task is shuffled, one for each id comes back."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for b in slices(batches):
-            got = np.bincount(np.frombuffer(b"".join(_ids(b, path, end_id)), "<u4"))
-            if len(got) > len(total):
+        for b in batches:
+            for payload in b.column("payload"):
+                got = np.bincount(_plain(payload.as_py()), minlength=len(total))
                 got[: len(total)] += total
                 total = got
-            else:
-                total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["token", "n"])
 
-    got = docs.select("text").mapInArrow(counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    got = plain.select("payload").mapInArrow(counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(got["token"].max()) + 1 if len(got) else 1, np.int64)
     out[got["token"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
     return out
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int, frame_ids: int = 1 << 20) -> None:
-    """Writes frames to ``out/frames`` and the table's counts to ``out/counts``.
+    """Writes coded frames to ``out/frames`` and the table's counts to ``out/counts`` (and plain frames, which reading doesn't need, to ``out/plain``).
 
     Null text counts as empty (its ids are the end id alone); null ids come first; rows with one id stand in the order of their texts'
     hashes; very long texts make a frame of their own; an empty table makes no frames. Other columns aren't read.
     """
     spark = docs.sparkSession
-    counts = count_ids(docs, path, end_id)
+    plain_frames(docs, path, end_id, frame_ids).write.option("compression", "zstd").parquet(f"{out}/plain")
+    plain = spark.read.schema(FRAMES).parquet(f"{out}/plain")
+    counts = count_ids(plain)
     spark.createDataFrame([(int(i), int(counts[i])) for i in np.flatnonzero(counts)], "token long, n long").coalesce(1).write.parquet(f"{out}/counts")
     table = spark.sparkContext.broadcast(Table(counts))
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, before, held, ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
-
-        def frame() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in held]
-            payload = encode(np.frombuffer(b"".join(held), "<u4"), table.value)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq]), pa.array([before]), pa.array([sum(lengths)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload])], ["part", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
-
-        for b in slices(batches):
-            for doc_id, x in zip(b.column("doc_id").to_pylist(), _ids(b, path, end_id), strict=True):
-                held.append(x)
-                ids.append(doc_id)
-                size += len(x) // 4
-                if size >= frame_ids:
-                    yield frame()
-                    seq, before, held, ids, size = seq + 1, before + size, [], [], 0
-        if held:
-            yield frame()
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                own = b.slice(r, 1)
+                payload = encode(_plain(own.column("payload")[0].as_py()), table.value)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in range(6)), pa.array([payload])], own.schema.names)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")
-    ordered = docs.select(F.col("doc_id").cast("long"), "text", tie.alias("tie")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "text").mapInArrow(frames, FRAMES).write.parquet(f"{out}/frames")
+    plain.mapInArrow(code, FRAMES).write.option("compression", "uncompressed").parquet(f"{out}/frames")
 
 
 def read_token_files(spark: SparkSession, out: str) -> DataFrame:

@@ -6,37 +6,85 @@ text are those of its words (runs of anything but ASCII white space) in order. E
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterable
 
 import numpy as np
 
 
+#: Punctuation that may end a word: after a letter or digit it is always a token run of its own.
+_TAIL = ".,;:!?*#$%&"
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """A word as two parts whose ids joined are the word's: what ends in a letter or digit (in lower case where that can't matter), and a tail of punctuation."""
+    stem = word.rstrip(_TAIL)
+    if not stem or not (stem[-1].isalpha() or stem[-1] in "0123456789"):
+        return word, ""
+    tail = word[len(stem) :]
+    return (stem.lower() if stem.isascii() and "<" not in stem else stem), tail
+
+
 class WordTokens:
-    """``ids(word)``: little-endian unsigned 32-bit ids of a word (bytes), ``ends(word)``: the code point at which each of its tokens ends."""
+    """``ids[word]``: little-endian unsigned 32-bit ids of a word (bytes), ``ends[word]``: the code point at which each of its tokens ends."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        special = next((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not t.normalized)
+        self.between, self.special = special
+        ends = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: If each id's token ends a run; all False where the vocabulary has no mark for that.
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if ends:
+            self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(ends)]] = True
         self.most = most
         self.ids: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
         self.ends: dict[str, tuple] = {}
 
     def learn(self, texts: Iterable[list[bytes]]) -> None:
-        """Makes sure that ``ids`` has each of the words; the table is emptied first where it would grow too large."""
+        """Makes sure that ``ids`` has each of the words; the tables are emptied first where they would grow too large."""
         words = set().union(*texts)
-        new = [w for w in words if w not in self.ids]
+        new = list(words.difference(self.ids))
         if len(self.ids) + len(new) > self.most:
             self.ids.clear()
             new = list(words)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        split = [_parts(w.decode()) for w in new]
+        wanted = set(itertools.chain.from_iterable(split))
+        missing = list(wanted.difference(self.parts))
+        if len(self.parts) + len(missing) > self.most:
+            self.parts.clear()
+            missing = list(wanted)
+        self._encode(missing)
+        parts = self.parts
+        self.ids.update((w, parts[a] + parts[b]) for w, (a, b) in zip(new, split, strict=True))
+
+    def _encode(self, parts: list[str]) -> None:
+        """Many parts in one call. Parts of letters alone are one run each, so they stand in one text and a run's last token, known by
+        its word end, closes each; other parts stand between special tokens, at which the library cuts its text before anything else."""
+        letters = [x for x in parts if self.closing.any() and x.isalpha() and x.lower().isalpha()]
+        known = set(letters)
+        plain = [x for x in parts if x not in known and self.special not in x]
+        for own, between in ((letters, " "), (plain, self.special)):
+            for at in range(0, len(own), 2000):
+                some = own[at : at + 2000]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join(some)], add_special_tokens=False)[0].ids, "<u4")
+                if between == " ":
+                    end = np.flatnonzero(self.closing[ids]) + 1
+                    begin = np.concatenate(([0], end[:-1]))
+                else:
+                    cut = np.flatnonzero(ids == self.between)
+                    begin, end = np.concatenate(([0], cut + 1)), np.append(cut, len(ids))
+                raw = ids.tobytes()
+                self.parts.update((x, raw[i:j]) for x, i, j in zip(some, (4 * begin).tolist(), (4 * end).tolist(), strict=True))
+        for x in set(parts) - known - set(plain):
+            self.parts[x] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn_ends(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.ends]
