@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         least = now.groupBy("hi").agg(F.min("lo").alias("m"))
-        large = now.join(least.withColumnsRenamed({"hi": "lo"}), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        large = now.join(least.withColumnsRenamed({"hi": "lo"}), "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("e")).select("e.*")
         now = written(small.where("hi <> lo").distinct(), "edges")

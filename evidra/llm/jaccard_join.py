@@ -6,9 +6,11 @@ every text in one region. Regions are therefore local: each text owns the shingl
 
 * A region of a few texts is compared outright. A larger one has a pivot, and each text's distance to it is bounded from
   below by the distance to the pivot of its bucket counts (a projection that shortens no distance), which settles most pairs, and else computed.
-* Texts within the radius of the pivot are its cell: they are linked and need no comparison among themselves. By the
-  triangle inequality a text of the cell at distance c from the pivot can only be linked with one outside at distance o if o - c <= radius:
-  only that boundary of the cell is replicated, and joined with what is outside around new pivots, more of them each round, until no text outside is left.
+* The pivot of a region is the text that is in most regions; regions with one pivot become one.
+* Texts that are connected with the pivot are its cell and need no comparison among themselves. By the triangle inequality a text of the cell at
+  distance c from a pivot can only be linked with one outside at distance o if o - c <= radius: only that boundary of the cell is
+  replicated, and joined with what is outside around new pivots taken from there, more of them each round, until no text outside is left. Texts that are
+  connected by then are never compared.
 
 All links that matter for the components are found: a pair is left out only if proved too far or already connected.
 """
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.llm import bloom
@@ -32,7 +34,7 @@ NEAR, WHOLE = 75, 100
 RADIUS = 0.25
 _WORDS = 5
 #: Regions up to this size are compared outright.
-SMALL = 16
+SMALL = 24
 
 
 class Sets:
@@ -62,8 +64,8 @@ class Sets:
         #: Equal sets have one node; 0 stands for the empty set.
         self.node = np.where(self.size > 0, mix(total[self.at[1:]] - total[self.at[:-1]] + self.size.astype(np.uint64)), 0).view(np.int64)
 
-    def owned(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The owned shingles of each text, and the text of each."""
+    def owned(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The owned shingles of each text (its rare ones first), the text of each, and by text how many are rare and if it owns all its rare ones."""
         last = np.zeros(len(self.values), bool)
         if len(frequent) and len(self.values):
             at = np.minimum(np.searchsorted(frequent, self.values), len(frequent) - 1)
@@ -73,7 +75,8 @@ class Sets:
         order = np.lexsort((last, doc)) if last.any() else np.arange(len(self.values))  # stable: hashes stay ascending
         rank = np.arange(len(self.values)) - np.repeat(self.at[:-1], self.size)
         keep = rank < np.repeat(count, self.size)
-        return self.values[order][keep], doc[keep]
+        rare = np.bincount(doc[~last], minlength=len(self.size))
+        return self.values[order][keep], doc[keep], np.minimum(rare, count), rare <= count
 
     def buckets(self, i: int) -> bytes:
         """Shingles counted by the low bits of their hashes, in a number of buckets that grows with the set."""
@@ -99,15 +102,18 @@ def _u64(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def frequent_shingles(docs: DataFrame, least: int = 16, most: int = 4_000_000) -> np.ndarray:
-    """Shingles owned (by hash order alone) by at least ``least`` texts, or by more where those would be above ``most``: at most that many, ascending.
+def frequent_shingles(docs: DataFrame, least: int = 4, most: int = 4_000_000) -> np.ndarray:
+    """Shingles that ``least`` texts count, or more where those would be above ``most``: at most that many, ascending. Each text counts the quarter of its
+    shingles that a hash of shingle and text picks, so a shingle is counted in about a quarter of its texts.
 
     They only set the order of shingles, which is the same for all texts, so any choice gives exact results.
     """
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, most=8_000_000):
-            s, n = np.unique(Sets(b.column("text")).owned(np.zeros(0, np.uint64))[0], return_counts=True)
+        for b in slices(batches):
+            sets = Sets(b.column("text"))
+            text = np.repeat(sets.node.view(np.uint64), sets.size)
+            s, n = np.unique(sets.values[mix(sets.values ^ text) & np.uint64(3) == 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int32))], ["s", "n"])
 
     often = written(docs.select("text").mapInArrow(counts, "s long, n int").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "often")
@@ -195,15 +201,15 @@ def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
         """One row for each text: its set's node, size, bucket counts and owned shingles."""
         for b in slices(batches):
             s = Sets(b.column("text"))
-            shingles, doc = s.owned(frequent.value)
+            shingles, doc, rare, full = s.owned(frequent.value)
             cut = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(shingles.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.size), pa.array(s.node), pa.array([s.buckets(i) for i in range(b.num_rows)], pa.binary()), lists], ["doc_id", "n", "node", "buckets", "owned"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s.size), pa.array(s.node), pa.array([s.buckets(i) for i in range(b.num_rows)], pa.binary()), lists, pa.array(rare), pa.array(full)], ["doc_id", "n", "node", "buckets", "owned", "rare", "full"])
 
-    texts = written(known.mapInArrow(own, f"doc_id {kind}, n long, node long, buckets binary, owned array<long>"), "owned")
-    reps = texts.where("n > 0").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"))
+    texts = written(known.mapInArrow(own, f"doc_id {kind}, n long, node long, buckets binary, owned array<long>, rare long, full boolean"), "owned")
+    reps = texts.where("n > 0").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare"), F.any_value("full").alias("full"))
     reps = written(reps.join(texts.select(F.col("doc_id").alias("rep"), "node", "buckets").dropDuplicates(["rep", "node"]), ["rep", "node"]), "nodes")
-    owned = texts.where("n > 0").select("node", F.explode("owned").alias("s"))
+    owned = texts.where("n > 0").select("node", "rare", F.posexplode("owned").alias("at", "s")).select("node", "s", (F.col("at") < F.col("rare")).alias("is_rare"))
     regions = written(owned.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("s"), "regions")
     shared = spark.sparkContext.broadcast(bloom.build(regions, regions.count()))
 
@@ -211,27 +217,30 @@ def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.has(b.column("s").to_numpy())))
 
-    members = written(owned.select("s", "node").mapInArrow(in_region, "s long, node long").join(regions, "s").distinct().select("s", "node"), "members")
+    members = written(owned.select("s", "node", "is_rare").mapInArrow(in_region, "s long, node long, is_rare boolean").join(regions, "s").distinct().select("s", "node", "is_rare"), "members")
     distances = _Distances(known, reps.select("node", "n", "rep", "buckets"))
     sizes = members.groupBy("s").count()
     small = members.join(sizes.where(F.col("count") <= SMALL), "s").groupBy("s").agg(F.sort_array(F.collect_list("node")).alias("m"))  # at most SMALL each
     pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*").distinct()
-    large = members.join(sizes.where(F.col("count") > SMALL), "s").select("s", "node", F.lit(True).alias("outside"))
-    large, pivots, links = written(large, "large"), 1, []
+    large = members.join(sizes.where(F.col("count") > SMALL).select("s"), "s")
+    large = large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node")
+    pivot = large.groupBy("s").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("pivot"))
+    # ``alone``: rare shingles that no other text owns; a text that owns all its rare ones shares none of these
+    shared_rare = members.groupBy("node").agg(F.count_if("is_rare").alias("met"))
+    facts = reps.join(shared_rare, "node").select("node", "n", "full", (F.col("rare") - F.col("met")).alias("alone"))
+    large = large.join(pivot, "s").select(F.col("pivot").alias("s"), "node", "degree").distinct().join(facts, "node")
+    large = written(large.select("s", "node", "degree", "n", "full", "alone", F.col("node").alias("part"), F.lit(True).alias("outside"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), "large")
+    pivots, parts = 1, None
     for number in range(most_rounds):
-        chosen = _pivots(large, pivots)
-        around = large.join(chosen, "s").where("node <> pivot")
-        asked = around.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        chosen = written(_pivots(large if number else large.where("node = s"), pivots), "pivots")
+        asked = large.join(chosen, "s").where(_may_link()).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         got = written(distances.near(written((pairs.unionAll(asked).distinct() if number == 0 else asked), "pairs")), "near")
-        links.append(got.where("linked").select("a", "b"))
-        found = links[0]
-        for x in links[1:]:
-            found = found.unionAll(x)
-        parts = connected_components(found)
-        large = written(_boundary(large, chosen, got, parts), "large")
-        pivots = min(4096, pivots * 8)
+        links = got.where("linked").select("a", "b")
+        parts = connected_components(links if parts is None else links.unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        large = written(_rest(large, chosen, got if number == 0 else None, parts), "large")
         if large.isEmpty():
             break
+        pivots = min(4096, max(32, pivots * 8))
     else:
         raise RuntimeError("regions did not settle")
     labels = reps.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "rep")
@@ -242,29 +251,40 @@ def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
     return rows.unionAll(lost)
 
 
+_FACTS = ("n", "full", "alone", "part", "lo", "hi")
+
+
 def _pivots(large: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` pivots of each region, from the texts that are outside all cells."""
-    out = large.where("outside")
-    if most == 1:
-        return out.groupBy("s").agg(F.min("node").alias("pivot"))
-    rank = F.row_number().over(Window.partitionBy("s").orderBy("node"))
-    return out.select("s", "node", rank.alias("k")).where(F.col("k") <= most).select("s", F.col("node").alias("pivot"))
+    """Up to ``most`` pivots of each region: of the texts outside its cell, those in most regions."""
+    rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("degree"), "node"))
+    ranked = large.where("outside").select("s", "node", *_FACTS, rank.alias("k")).where(F.col("k") <= most)
+    return ranked.select("s", F.col("node").alias("pivot"), *(F.col(c).alias(f"p_{c}") for c in _FACTS))
+
+
+def _may_link() -> Column:
+    """If a text and a pivot of its region may lie within the radius and aren't connected: by their sizes, by what each has alone, and by the
+    triangle inequality on their distances to the region's first pivot (``lo`` to ``hi``)."""
+    n, p, most = F.col("n"), F.col("p_n"), F.least("n", "p_n")
+    both = F.least(most, F.when(F.col("p_full"), n - F.col("alone")).otherwise(most), F.when(F.col("full"), p - F.col("p_alone")).otherwise(most))
+    near = (F.col("lo") - F.col("p_hi") <= RADIUS + 1e-9) & (F.col("p_lo") - F.col("hi") <= RADIUS + 1e-9)
+    return (F.col("part") != F.col("p_part")) & (WHOLE * both >= NEAR * (n + p - both)) & near
 
 
-def _boundary(large: DataFrame, chosen: DataFrame, got: DataFrame, parts: DataFrame) -> DataFrame:
-    """What each region still has to join: the texts outside the cells of its pivots, and the boundaries of the cells.
+def _rest(large: DataFrame, chosen: DataFrame, got: DataFrame | None, parts: DataFrame) -> DataFrame:
+    """What each region still has to join: the texts that haven't been pivots, as long as one of them is outside the cell.
 
-    A text is in a cell when it is connected with a pivot of the region. It stays if a text outside may lie within the radius: its own
-    distance to every pivot, taken as 1 where it isn't a link, is at least the least bound of a text outside, less the radius.
+    The cell is what is connected with the region's first pivot, whose node names the region. After the first round (``got``) the
+    distances to that pivot are kept, and of the cell only the boundary: texts that one outside may reach.
     """
     known = parts.withColumnRenamed("node", "x")
-    labelled = large.join(known, large["node"] == F.col("x"), "left").select("s", "node", "outside", F.coalesce("component", "node").alias("part"))
-    cells = chosen.join(known, chosen["pivot"] == F.col("x"), "left").select("s", F.coalesce("component", "pivot").alias("part"), F.lit(True).alias("cell")).distinct()
-    rest = labelled.join(chosen, (labelled["s"] == chosen["s"]) & (labelled["node"] == chosen["pivot"]), "left_anti").join(cells, ["s", "part"], "left")
-    rest = rest.withColumn("outside", F.col("outside") & F.col("cell").isNull())
-    bounds = got.select("a", "b", "bound", "linked")
-    each = rest.join(chosen, "s").withColumns({"a": F.least("node", "pivot"), "b": F.greatest("node", "pivot")}).join(bounds, ["a", "b"], "left")
-    # per region and pivot: the least distance of a text outside
-    out = each.where("outside").groupBy("s", "pivot").agg(F.min(F.coalesce("bound", F.lit(0.0))).alias("o"))
-    stays = each.join(out, ["s", "pivot"]).groupBy("s", "node").agg(F.bool_and("outside").alias("outside"), F.min((F.when(F.col("linked"), F.col("bound")).otherwise(1.0) >= F.col("o") - RADIUS - 1e-9).cast("int")).alias("near"))
-    return stays.where("outside or near = 1").select("s", "node", "outside")
+    cells = known.select(F.col("x").alias("s"), F.col("component").alias("cell"))
+    rest = large.join(chosen.select("s", F.col("pivot").alias("node")), ["s", "node"], "left_anti").drop("part", "outside")
+    rest = rest.join(known, F.col("node") == F.col("x"), "left").withColumn("part", F.coalesce("component", "node")).drop("x", "component").join(cells, "s", "left")
+    rest = rest.withColumn("outside", F.col("part") != F.coalesce("cell", "s")).drop("cell")
+    if got is not None:
+        bounds = got.select("a", "b", "bound", "linked")
+        rest = rest.withColumns({"a": F.least("node", "s"), "b": F.greatest("node", "s")}).join(bounds, ["a", "b"], "left")
+        rest = rest.withColumns({"lo": F.coalesce("bound", F.lit(0.0)), "hi": F.when(F.col("linked"), F.col("bound")).otherwise(1.0)}).drop("a", "b", "bound", "linked")
+    least = rest.where("outside").groupBy("s").agg(F.min("lo").alias("o"))
+    rest = rest.join(least, "s").where(F.col("outside") | (F.col("hi") >= F.col("o") - RADIUS - 1e-9))
+    return rest.select("s", "node", "degree", *_FACTS, "outside")
