@@ -249,6 +249,33 @@ def test_filter_never_loses_a_count():
     assert (found >= q).all() and (found == q).mean() > 0.9
 
 
+def test_pairs_seen_once_count_and_large_filters_give_the_same_scores(spark, monkeypatch):
+    rng = random.Random(8)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:200]
+    held = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    texts = {i: " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 40) for _ in range(60)) for i in ids}
+    texts |= {held[0]: texts[ids[0]], held[1]: " ".join(rng.sample(texts[ids[0]].split(), 60))}
+    frame = spark.createDataFrame([*texts.items(), (None, None), (ids[0], "")], "doc_id long, text string")
+    pick = lambda got: sorted(tuple(map(str, r)) for r in got.collect())
+    want = lm_score.score_texts(frame)
+    score = {r["doc_id"]: r["score"] for r in want.collect() if r["n_tokens"] == 61}
+    assert score[held[0]] > score[held[1]] + 3  # pairs of a text learnt once against the same words in another order
+    assert pick(lm_score.score_texts(frame, most_bits=1)) == pick(want)
+    monkeypatch.setattr(lm_score, "CHUNK_BITS", 1 << 9)  # more chunks than the least
+    assert [r[:5] for r in pick(lm_score.score_texts(frame, most_bits=1))] == [r[:5] for r in pick(want)]
+
+
+def test_filter_holds_every_ngram(spark):
+    rows = [(2 * i, 1) for i in range(500)] + [((i << 33) + 2 * j + 1, 1 + i % 3) for i in range(40) for j in range(50)]
+    table, chunks, words_each = lm_score.build_filter(spark.createDataFrame(rows, "key long, n long"))
+    bits = np.zeros((chunks, words_each), np.uint64)
+    for r in table.collect():
+        bits[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint64)
+    keys, n = np.array(rows).T
+    found = lm_score.Filter(bits.ravel(), chunks).levels(keys.astype(np.uint64))
+    assert (found >= lm_score.level(n)).all() and (found == lm_score.level(n)).mean() > 0.95
+
+
 def shingles(t):
     w = WORD.findall((t or "").translate(FOLD))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
