@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Each tree splits the unit vectors at random hyperplanes, again and again; vectors near a hyperplane go to both sides. All pairs within
-a leaf are compared in double precision, so no pair below the threshold is linked. Trees are fitted on a bounded
+a leaf are compared in double precision, so no pair below the threshold is linked. A hyperplane must not part a group of near copies that is a large share of its
+node: where none is found the node stays a leaf. Trees are fitted on a bounded
 sample of vectors (``sample``, in the order of a hash) and index every vector. A pair is counted in the first leaf that it shares, and each
 leaf gives links as counts and stars, so that groups of thousands of copies never become pair rows. Leaves of more
 than ``block`` vectors are compared block by block in separate tasks.
@@ -21,26 +22,45 @@ from evidra.llm.components import connected_components
 
 #: Leaves of one tree are numbered from tree * TREE.
 TREE = 1 << 24
+#: A vector is in a hot group if it links with this share of its node (judged on so many vectors); a hyperplane may part this share of the links in such groups.
+HOT, LOOK, LOST = 0.05, 2000, 0.02
 
 
 class Forest:
     """Trees as nested tuples (direction, threshold, left, right) or a leaf's number."""
 
-    def __init__(self, sample: np.ndarray, n: int, trees: int, leaf: int, spill: float, seed: int) -> None:
-        self.spill, self.trees = spill, []
+    def __init__(self, sample: np.ndarray, n: int, trees: int, leaf: int, spill: float, seed: int, threshold: float) -> None:
+        self.spill, self.threshold, self.trees = spill, threshold, []
         rng = np.random.default_rng(seed)
         scale = n / max(1, len(sample))
         for t in range(trees):
             self.next = t * TREE
             self.trees.append(self._grow(sample, scale, leaf, rng))
 
+    def _hot(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors that link with at least ``HOT`` of a node's (of at most ``LOOK`` of them), and the links among these."""
+        some = x[:: -(-len(x) // LOOK)]
+        linked = some @ some.T >= self.threshold
+        np.fill_diagonal(linked, False)
+        hot = linked.sum(1) >= max(2, HOT * len(some))
+        return some[hot], linked[np.ix_(hot, hot)].astype(np.float32)
+
     def _grow(self, x: np.ndarray, scale: float, leaf: int, rng: np.random.Generator):
         if len(x) * scale > leaf and len(x) >= 8:
-            for _ in range(4):
+            hot, linked = self._hot(x)
+            links = linked.sum()
+            for _ in range(12 if links else 4):
                 direction = rng.standard_normal(x.shape[1])
                 direction /= np.linalg.norm(direction)
                 at = x @ direction
-                cut = float(np.quantile(at, rng.uniform(0.4, 0.6)))
+                cuts = np.quantile(at, rng.uniform(0.4, 0.6, 1) if not links else rng.uniform(0.25, 0.75, 8))
+                if links:
+                    own = hot @ direction
+                    lost = [2 * (own <= c - self.spill).astype(np.float32) @ linked @ (own > c + self.spill).astype(np.float32) for c in cuts]
+                    if min(lost) > LOST * links:
+                        continue
+                    cuts = cuts[np.argsort(lost)[:1]]
+                cut = float(cuts[0])
                 left, right = at <= cut + self.spill, at > cut - self.spill
                 # a group too dense for this hyperplane stays together
                 if max(left.sum(), right.sum()) <= 0.8 * len(x):
@@ -130,7 +150,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = 6, lea
     forests = {}
     for r in own.groupBy("dim").count().collect():
         some = own.where(F.col("dim") == r["dim"]).select("embedding").orderBy(F.xxhash64("key")).limit(sample).toArrow()
-        forests[r["dim"]] = Forest(_unit(_matrix(some["embedding"])), r["count"], trees, leaf, spill, seed + r["dim"])
+        forests[r["dim"]] = Forest(_unit(_matrix(some["embedding"])), r["count"], trees, leaf, spill, seed + r["dim"], threshold)
     sent = spark.sparkContext.broadcast(forests)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,6 +65,16 @@ def test_embeddings_against_all_pairs(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_hot_group_keeps_its_links(spark):
+    rng = np.random.default_rng(2)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit(rng.normal(size=(1, 64))) + unit(rng.normal(size=(2400, 64))) * math.sqrt(1 / 0.905 - 1)
+    x = unit(np.concatenate([near, rng.normal(size=(5600, 64))]))
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = sum(r["n_links"] for r in near_vectors(frame).collect())
+    assert 0.995 <= got / ((x @ x.T >= 0.9).sum() - 8000) <= 1
+
+
 def best_pieces(p, text):
     score = {p.bytes_of[i].replace(b" ", b"\xe2\x96\x81").decode(): (s, i) for i, s in zip(p.ids.tolist(), p.scores.tolist())}
     t = sentence_pieces.normalise(text)
