@@ -76,6 +76,12 @@ def c15_near_duplicate_join(spark, sf_dir):
     return rounded(S.near_duplicate_join(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id", "text", 0.78), "jaccard")
 
 
+def c15_near_duplicate_join_all(spark, sf_dir):
+    """All documents against each other."""
+    docs = table(spark, sf_dir, "documents")
+    return rounded(S.near_duplicate_join(docs, docs, "doc_id", "text", 0.78).where("a < b"), "jaccard")
+
+
 def c15_target_text_leakage(spark, sf_dir):
     return S.containment_join(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
@@ -188,6 +194,8 @@ length(regexp_replace(text, '[^-]', '', 'g')) AS dashes, length(regexp_replace(t
 CASE WHEN vec_id % 7 = 3 OR vec_id % 5 = 0 THEN NULL WHEN vec_id % 5 = 1 THEN round(list_max(list_transform(v, lambda x: abs(x - x * 1.01))), 6) ELSE 0.0 END AS max_diff FROM v""",
     "b19_topk_explode": "WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS position, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, position) AS rank FROM e) SELECT vec_id, position, round(v, 6) AS value, rank FROM r WHERE rank <= 3",
     "c15_near_duplicate_join": f"""WITH {_GRAM}, p AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM gr), j AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY ALL)
+SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM j WHERE c / (na + nb - c) >= 0.78""",
+    "c15_near_duplicate_join_all": f"""WITH {_GRAM}, p AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM gr), j AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY ALL)
 SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM j WHERE c / (na + nb - c) >= 0.78""",
     "c15_target_text_leakage": """WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents), b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS u FROM benchmark)
 SELECT doc_id, item_id FROM d, b WHERE length(u) >= 20 AND len(string_split(u, ' ')) >= 3 AND contains(t, ' ' || u || ' ')""",

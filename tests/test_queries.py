@@ -50,6 +50,16 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 1
 
 
+def test_near_duplicates_of_equal_parity_are_found(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(2, " ".join(words), "x"), (4, " ".join(words[:-1]), "y"), (7, " ".join(words[:-4]), "y"), (9, "other text that stands alone", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = {(r["a"], r["b"]) for r in QUERIES["c15_near_duplicate_join_all"](spark, str(tmp_path)).collect()}
+    assert pairs == {(2, 4), (2, 7), (4, 7)}
+    best = {r["doc_id"]: r["other"] for r in QUERIES["c17_cross_domain_max_all"](spark, str(tmp_path)).collect()}
+    assert best == {2: 4, 4: 2, 7: 2}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
