@@ -39,6 +39,12 @@ def c4_reference_integrity(spark, sf_dir):
     return A.reference_integrity(edges, table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0"), "src", "dst", "c_custkey", symmetric=True)
 
 
+def c4_reference_integrity_all(spark, sf_dir):
+    """Line items as references from orders to parts, by their own keys, against all customers."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return A.reference_integrity(edges, table(spark, sf_dir, "customer"), "src", "dst", "c_custkey", symmetric=True)
+
+
 def c5_exact_duplicates(spark, sf_dir):
     return A.exact_duplicates(_docs(spark, sf_dir), "doc_id", "split", T.norm_dataset(F.col("text")))
 
@@ -229,6 +235,10 @@ row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_s
     "c4_reference_integrity": f"""WITH e AS (SELECT l_orderkey % 1000 AS src, l_partkey % 1000 AS dst FROM lineitem), t AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0), d AS (SELECT DISTINCT src, dst FROM e)
 SELECT {_ISSUE} FROM (SELECT 'reference_integrity' AS "check", 'dst' AS field, * FROM (
 SELECT 'self_reference' AS code, src AS entity_id, dst AS other_id, NULL AS detail FROM e WHERE src = dst UNION ALL SELECT 'repeated_reference', src, dst, count(*) FROM e GROUP BY src, dst HAVING count(*) > 1
+UNION ALL SELECT 'missing_target', src, dst, NULL FROM d WHERE dst NOT IN (SELECT k FROM t) UNION ALL SELECT 'asymmetric_reference', src, dst, NULL FROM d WHERE dst IN (SELECT k FROM t) AND NOT EXISTS (SELECT 1 FROM d r WHERE r.src = d.dst AND r.dst = d.src)))""",
+    "c4_reference_integrity_all": f"""WITH e AS (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem), t AS (SELECT c_custkey AS k FROM customer), d AS (SELECT DISTINCT src, dst FROM e)
+SELECT {_ISSUE} FROM (SELECT 'reference_integrity' AS "check", 'dst' AS field, * FROM (
+SELECT 'self_reference' AS code, src AS entity_id, dst AS other_id, NULL AS detail FROM e WHERE src = dst UNION ALL SELECT 'repeated_reference', src, dst, count(*) FROM e GROUP BY src, dst HAVING count(*) > 1
 UNION ALL SELECT 'missing_target', src, dst, NULL FROM d WHERE dst NOT IN (SELECT k FROM t) UNION ALL SELECT 'asymmetric_reference', src, dst, NULL FROM d WHERE dst IN (SELECT k FROM t) AND NOT EXISTS (SELECT 1 FROM d r WHERE r.src = d.dst AND r.dst = d.src)))""",
     "c5_exact_duplicates": f"""WITH {_DOCS}, s AS (SELECT sha256(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS signature, split, doc_id FROM docs), g AS (SELECT signature, split, count(*) AS n, min(doc_id) AS f FROM s GROUP BY ALL)
 SELECT signature, min(f) AS first_key, CAST(sum(n) AS BIGINT) AS rows, count(*) AS splits, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS within_pairs, CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS cross_pairs,

@@ -112,6 +112,15 @@ def g2_domain_moments(spark, sf_dir):
     return rounded(got.select("domain", "label", F.col("m")[0].cast("long").alias("n"), F.explode(items).alias("e")).select("domain", "label", "n", "e.*"), "s", "ss", digits=4)
 
 
+def g2_domain_moments_all(spark, sf_dir):
+    """n, sums (j null) and cross products (i <= j) of all dimensions."""
+    got = G.domain_moments(_vectors(spark, sf_dir), "domain", "label", "embedding", DIM)
+    place = [(i, None) for i in range(DIM)] + [(i, j) for i in range(DIM) for j in range(i, DIM)]
+    names = table(spark, sf_dir, "embeddings").sparkSession.createDataFrame([(k, *p) for k, p in enumerate(place, 1)], "k int, i int, j int")
+    rows = got.select("domain", "label", F.col("m")[0].cast("long").alias("n"), F.posexplode("m").alias("k", "s"))
+    return rounded(rows.join(F.broadcast(names), "k").select("domain", "label", "n", "i", "j", "s"), "s", digits=4)
+
+
 def g3_ridge_ovr(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     return G.ridge_lodo(rows, G.domain_moments(rows, "domain", "label", "embedding", DIM), "vec_id", "domain", "label", "embedding", DIM, 1.0)
@@ -207,6 +216,9 @@ SELECT a.doc_id AS a, b.doc_id AS b, round((coalesce(len(list_intersect(a.u, b.u
 SELECT {_ISSUE} FROM (SELECT 'vectors' AS "check", * FROM (SELECT 'unknown_case' AS code, 'vec_id' AS field, vec_id AS entity_id, NULL AS other_id, NULL AS detail FROM d WHERE vec_id NOT IN (SELECT vec_id FROM k) UNION ALL SELECT 'repeated_key', 'vec_id', vec_id, NULL, count(*) FROM d GROUP BY vec_id HAVING count(*) > 1
 UNION ALL SELECT 'wrong_length', 'embedding', vec_id, NULL, n FROM d WHERE n <> 64 UNION ALL SELECT 'missing_vector', 'vec_id', vec_id, NULL, NULL FROM k WHERE vec_id NOT IN (SELECT vec_id FROM d)))""",
     "g2_domain_moments": "WITH e AS (SELECT vec_id, CAST(vec_id % 5 AS VARCHAR) AS domain, CAST(label AS VARCHAR) AS label, unnest(range(8)) AS i, unnest(CAST(embedding[1:8] AS DOUBLE[])) AS x FROM embeddings) SELECT domain, label, count(*) AS n, i, round(sum(x), 4) AS s, round(sum(x * x), 4) AS ss FROM e GROUP BY domain, label, i",
+    "g2_domain_moments_all": """WITH e AS (SELECT vec_id, CAST(vec_id % 5 AS VARCHAR) AS domain, CAST(label AS VARCHAR) AS label, unnest(range(len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings)
+SELECT domain, label, count(*) AS n, i, NULL AS j, coalesce(nullif(round(sum(x), 4), 0), 0) AS s FROM e GROUP BY domain, label, i UNION ALL
+SELECT a.domain, a.label, count(*), a.i, b.i, coalesce(nullif(round(sum(a.x * b.x), 4), 0), 0) FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.domain, a.label, a.i, b.i""",
     "g9_holm": """WITH g AS (SELECT event_type, least(1.0, 1 / ((avg(value) - 50) / (stddev_samp(value) / sqrt(count(*)))) ** 2) AS p FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, event_type) AS r, count(*) OVER () AS m FROM g)
 SELECT event_type, round(p, 6) AS p, round(max(least(1.0, p * (m - r + 1))) OVER (ORDER BY p, event_type), 6) AS adjusted FROM r""",
     "g11_family_success": f"WITH {_FAM} SELECT family, success, round(difference, 6) AS difference FROM fm",
