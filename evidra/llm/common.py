@@ -14,20 +14,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of its own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a local session may do without and gets a folder of its own."""
     context = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="evidra-")
         context.setCheckpointDir(path)
         path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends here and lost executors cost no recomputation.
+
+    Results are lazy, so these tables outlive the query; whoever owns the checkpoint folder clears it, as for Spark's own checkpoints.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

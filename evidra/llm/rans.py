@@ -19,12 +19,13 @@ _HEAD = struct.Struct("<4sIHHIII")  # magic, ids, lanes, spare, words, crc of id
 
 
 class Table:
-    """Frequencies scaled to a sum of ``2^bits``: at least 1 for each id that occurs."""
+    """Frequencies scaled to a sum of ``2^bits``: at least 1 for each id that occurs. More than ``2^bits / 2`` ids take more bits, up to 30."""
 
     def __init__(self, counts: np.ndarray, bits: int = 18) -> None:
         counts = np.asarray(counts, np.int64)
         seen = np.flatnonzero(counts)
-        if len(seen) > 1 << (bits - 1):
+        bits = max(bits, len(seen).bit_length() + 1)
+        if bits > 30:
             raise ValueError("too many ids for this table")
         self.bits, size = bits, 1 << bits
         freq = np.zeros(len(counts), np.int64)

@@ -1,15 +1,13 @@
-"""Token counts of whole texts, long ones by overlap resynchronisation.
+"""Token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of more than ``chunk`` code points is encoded in overlapping chunks with offsets. Two neighbours are spliced inside
-their overlap, at a place that follows white space in both (a boundary the tokenizer never crosses, so what comes
-after doesn't depend on what came before), where both have a token boundary and agree on the tokens that follow. Where
-no such place is found, the overlap is widened and the chunk encoded again, up to the rest of the text.
+A text of more than ``chunk`` code points is encoded in overlapping chunks, each whole, with the library's offsets. The library cuts text into runs from
+left to right, looking ahead but never back, and encodes each run by itself. So where two neighbouring chunks both begin a run at one place, all that follows is the same in both, up to
+where the left chunk's end may have changed its runs. Neighbours are spliced at such a place, if the tokens that follow agree too; where the
+overlap has none, it is widened and the chunk encoded again, and if need be the left chunk is made longer.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,73 +18,95 @@ from pyspark.sql import functions as F
 from evidra.llm.word_tokens import WordTokens, word_tokens
 from evidra.llm.words import slices, text_bytes
 
-_WORD = re.compile("[^\\x20\\x09-\\x0D]+")
-SPACE = frozenset(" \t\n\v\f\r")
 
+class Chunk:
+    """Tokens of a text's part [lo, hi): where each begins (code points of the text), and if it begins a run."""
 
-def chunk_ends(tokens: WordTokens, chunk: str) -> list[int]:
-    """Code points at which the tokens of a chunk end."""
-    found = [(m.start(), m.group()) for m in _WORD.finditer(chunk)]
-    tokens.learn_ends({w for _, w in found})
-    ends = tokens.ends
-    return [at + e for at, w in found for e in ends[w]]
+    def __init__(self, tokens: WordTokens, text: str, lo: int, hi: int) -> None:
+        got = tokens.tokenizer.encode(text[lo:hi], add_special_tokens=False)
+        self.lo, self.hi, self.ids = lo, hi, np.array(got.ids, np.int64)
+        self.begin = np.array([a for a, _ in got.offsets], np.int64).reshape(-1) + lo
+        runs = np.array([-1 if r is None else r for r in got.word_ids], np.int64)
+        # A special token belongs to no run and is one by itself; run numbers begin anew after it.
+        new = np.ones(len(runs), bool)
+        new[1:] = (runs[1:] != runs[:-1]) | (runs[1:] < 0)
+        # A run begins where its first token begins, and no other token begins there (a character may have several).
+        new[1:] &= self.begin[1:] > self.begin[:-1]
+        self.run = new
 
+    def sure(self) -> int:
+        """Up to this token the chunk's end has no say, if it isn't the text's end: the last two runs may have been cut."""
+        at = np.flatnonzero(self.run)
+        return int(at[-2]) if len(at) > 1 else 0
 
-def splice(left: list[int], right: list[int], text: str, lo: int, hi: int, agree: int) -> int | None:
-    """The first place in [lo, hi) after white space from which both lists of token ends agree for ``agree`` tokens, or to ``hi``."""
-    for at in range(lo + 1, hi):
-        if text[at - 1] in SPACE and text[at] not in SPACE:
-            i, j = bisect_right(left, at), bisect_right(right, at)
-            a, b = left[i : i + agree], right[j : j + agree]
-            if a and a == b:
-                return at
+
+def splice(left: Chunk, right: Chunk, start: int = 0, agree: int = 4) -> tuple[int, int] | None:
+    """Numbers of the first tokens, left (``start`` or later) and right, from which both chunks go on alike: runs begin at one place in both, and ``agree`` tokens that are sure in the left chunk follow alike.
+
+    The right chunk's first run may have lost its beginning, so it proves nothing.
+    """
+    end = left.sure()
+    at = start + np.flatnonzero(left.run[start:end])
+    at = at[left.begin[at] > right.lo]
+    own = np.flatnonzero(right.run)[1:]
+    _, i, j = np.intersect1d(left.begin[at], right.begin[own], return_indices=True)
+    for a, b in zip(at[i].tolist(), own[j].tolist(), strict=True):
+        n = min(agree, end - a)
+        if n and all(np.array_equal(x[a : a + n], y[b : b + n]) for x, y in ((left.begin, right.begin), (left.run, right.run), (left.ids, right.ids))):
+            return a, b
     return None
 
 
-def count_long(text: str, ends_of: Callable[[str], list[int]], chunk: int, overlap: int, agree: int = 4) -> int:
-    """Number of tokens of a long text. ``ends_of`` encodes a chunk; its token ends are code points of the chunk."""
-    n, start, total = len(text), 0, 0
-    stop = min(n, chunk)
-    left = ends_of(text[:stop])
-    while stop < n:
-        wide, at, right = overlap, None, []
-        while True:
-            lo = max(start, stop - wide)
-            end = min(n, lo + max(chunk, 2 * wide))
-            right = [lo + e for e in ends_of(text[lo:end])]
-            # the last word of the left chunk may be cut, so it proves nothing
-            sure = stop
-            while sure > lo and text[sure - 1] not in SPACE:
-                sure -= 1
-            at = splice(left, right, text, lo, sure, agree)
-            if at is not None or lo <= start:
+def count_long(text: str, tokens: WordTokens, chunk: int, overlap: int) -> int:
+    """Number of tokens of a long text."""
+    n, total, start = len(text), 0, 0
+    left = Chunk(tokens, text, 0, min(n, chunk))
+    while left.hi < n:
+        wide, found, right = overlap, None, left
+        while found is None:
+            lo = max(left.lo, left.hi - wide)
+            right = Chunk(tokens, text, lo, min(n, lo + max(chunk, 2 * wide)))
+            found = splice(left, right, start)
+            if lo == left.lo:
                 break
             wide *= 2
-        if at is None:  # no boundary back to the last splice: encode from there with a longer chunk
-            stop = min(n, start + 2 * (stop - start))
-            left = [start + e for e in ends_of(text[start:stop])]
+        if found is None:  # no common place in the whole left chunk: a longer one from the same beginning
+            left = Chunk(tokens, text, left.lo, min(n, left.lo + 2 * (left.hi - left.lo)))
             continue
-        total += bisect_right(left, at) - bisect_right(left, start)
-        start, stop, left = at, end, right
-    return total + len(left) - bisect_right(left, start)
+        total += found[0] - start
+        start, left = found[1], right
+    return total + len(left.begin) - start
+
+
+def counter(path: str, chunk: int, overlap: int) -> Callable[[pa.Array], np.ndarray]:
+    """Token counts of a string column (null: empty)."""
+    tokens = word_tokens(path)
+
+    def count(column: pa.Array) -> np.ndarray:
+        size = np.diff(text_bytes(column)[1])
+        long = size > chunk
+        out = np.zeros(len(column), np.int64)
+        if not long.all():
+            out[~long] = tokens.count(column.filter(pa.array(~long)))
+        for i in np.flatnonzero(long):
+            text = column[i].as_py()
+            out[i] = count_long(text, tokens, chunk, overlap)
+        return out
+
+    return count
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
     """Per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit.
 
     Null text counts as empty, with 0 bytes and tokens. Repeated rows are counted each; an empty table gives no rows; texts
-    of any length are encoded whole, in chunks. Other columns aren't read.
+    above ``chunk`` bytes are encoded whole, in chunks of that many code points. Other columns aren't read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(path)
-        for b in slices(batches):
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            words = [t.encode().split() if len(t) <= chunk else [] for t in texts]
-            tokens.learn(words)
-            size = {w: len(tokens.ids[w]) // 4 for w in set().union(*words)}
-            n = [sum(map(size.__getitem__, w)) if len(t) <= chunk else count_long(t, lambda c: chunk_ends(tokens, c), chunk, overlap) for t, w in zip(texts, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(text_bytes(b.column("text"))[1])), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        tokens_in = counter(path, chunk, overlap)
+        for b in slices(batches, most=8_000_000):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(text_bytes(b.column("text"))[1])), pa.array(tokens_in(b.column("text")))], ["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

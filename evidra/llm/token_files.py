@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidra.llm.common import shared_dir
+from evidra.llm.common import shared_dir, written
 from evidra.llm.rans import Table, decode, encode
 from evidra.llm.word_tokens import word_tokens
 from evidra.llm.words import slices
@@ -25,18 +25,9 @@ from evidra.llm.words import slices
 FRAMES = "part int, seq long, before long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
-def _ids(batch: pa.RecordBatch, path: str, end_id: int) -> list[bytes]:
-    """Little-endian ids of each text, with the end id."""
-    tokens, end = word_tokens(path), np.array([end_id], "<u4").tobytes()
-    texts = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
-    tokens.learn(texts)
-    return [b"".join(map(tokens.ids.__getitem__, words)) + end for words in texts]
-
-
-def _narrow(ids: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Plain ids of a frame: a byte of width, then ids of 2 or 4 bytes."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\x02" + a.astype("<u2").tobytes() if not len(a) or a.max() < 1 << 16 else b"\x04" + ids
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _plain(payload: bytes) -> np.ndarray:
@@ -47,20 +38,28 @@ def plain_frames(docs: DataFrame, path: str, end_id: int, frame_ids: int) -> Dat
     """Frames with plain ids, sorted by id over all partitions."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, before, held, ids, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
+        part, seq, before, size = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        tokens = word_tokens(path)
 
         def frame() -> pa.RecordBatch:
-            lengths = [len(x) // 4 for x in held]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq]), pa.array([before]), pa.array([sum(lengths)]), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([_narrow(b"".join(held))])], ["part", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
-
-        for b in slices(batches):
-            for doc_id, x in zip(b.column("doc_id").to_pylist(), _ids(b, path, end_id), strict=True):
-                held.append(x)
-                ids.append(doc_id)
-                size += len(x) // 4
+            doc_ids, lengths = pa.concat_arrays([x for _, x, _ in held]), np.concatenate([x for _, _, x in held])
+            one = pa.array([0, len(lengths)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq]), pa.array([before]), pa.array([size]), pa.ListArray.from_arrays(one, doc_ids), pa.ListArray.from_arrays(one, pa.array(lengths)), pa.array([_narrow(np.concatenate([x for x, _, _ in held]))])], ["part", "seq", "before", "n_ids", "doc_ids", "lengths", "payload"])
+
+        for b in slices(batches, most=8_000_000):
+            ids, at = tokens.encode(b.column("text"), end_id)
+            done = 0
+            while done < b.num_rows:  # whole documents, until a frame has its ids
+                to = max(done + 1, int(np.searchsorted(at, at[done] + frame_ids - size)))
+                to = min(to, b.num_rows)
+                held.append((ids[at[done] : at[to]], b.column("doc_id").slice(done, to - done), np.diff(at[done : to + 1])))
+                size += int(at[to] - at[done])
+                done = to
                 if size >= frame_ids:
                     yield frame()
-                    seq, before, held, ids, size = seq + 1, before + size, [], [], 0
+                    seq, before, size = seq + 1, before + size, 0
+                    held.clear()
         if held:
             yield frame()
 
@@ -89,14 +88,13 @@ def count_ids(plain: DataFrame) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int, frame_ids: int = 1 << 20) -> None:
-    """Writes coded frames to ``out/frames`` and the table's counts to ``out/counts`` (and plain frames, which reading doesn't need, to ``out/plain``).
+    """Writes coded frames to ``out/frames`` and the table's counts to ``out/counts``; plain frames are a table of the shared folder.
 
     Null text counts as empty (its ids are the end id alone); null ids come first; rows with one id stand in the order of their texts'
     hashes; very long texts make a frame of their own; an empty table makes no frames. Other columns aren't read.
     """
     spark = docs.sparkSession
-    plain_frames(docs, path, end_id, frame_ids).write.option("compression", "zstd").parquet(f"{out}/plain")
-    plain = spark.read.schema(FRAMES).parquet(f"{out}/plain")
+    plain = written(plain_frames(docs, path, end_id, frame_ids), "plain-frames", "zstd")
     counts = count_ids(plain)
     spark.createDataFrame([(int(i), int(counts[i])) for i in np.flatnonzero(counts)], "token long, n long").coalesce(1).write.parquet(f"{out}/counts")
     table = spark.sparkContext.broadcast(Table(counts))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,11 +195,9 @@ ODD = [None, "", "it's Don't x<|endoftext|>y <|ENDOFTEXT|> foo). İstanbul. ΣΑ
 
 def test_word_tokens_as_the_library(library, spark):
     texts = [t or "" for t in ODD] + [r["text"] for r in table(spark, SF, "documents").collect()]
-    own = WordTokens(BPE)
-    words = [t.encode().split() for t in texts]
-    own.learn(words)
-    for t, w, e in zip(texts, words, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert b"".join(own.ids[x] for x in w) == np.array(e.ids, "<u4").tobytes(), t
+    ids, at = WordTokens(BPE).encode(pa.array(texts))
+    for t, i, j, e in zip(texts, at[:-1], at[1:], library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids[i:j].tolist() == e.ids, t
 
 
 def test_token_files_from_what_was_written(library, spark, tmp_path):
