@@ -10,15 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: Longer words are hashed one by one.
-_LONG = 48
 _K = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose words are hashed together (a longer word is a block by itself).
+_BLOCK = 1 << 20
+_STEP = 0x2545F4914F6CDD1D
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,6 +30,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_POWERS: list[np.ndarray] = []
+_VALUES: dict[int, np.ndarray] = {}
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64, at least ``n`` of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(10, (n - 1).bit_length())
+        made = [np.full(size, x, np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64))]
+        for x in made:
+            x[0] = 1
+        _POWERS[:] = [np.cumprod(x) for x in made]
+    return _POWERS
+
+
+def _byte_values(seed: int) -> np.ndarray:
+    if seed not in _VALUES:
+        _VALUES[seed] = mix(np.arange(1, 257, dtype=np.uint64) * _K ^ np.uint64(seed * 0x9FB21C65 + 1))
+    return _VALUES[seed]
+
+
 @dataclass
 class Words:
     """``data``: all bytes; document i is ``data[offsets[i]:offsets[i + 1]]``; word j is ``data[starts[j]:ends[j]]`` of document ``doc[j]``."""
@@ -46,24 +67,21 @@ class Words:
         return np.searchsorted(self.doc, np.arange(len(self.offsets)))
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        size = self.ends - self.starts
-        h = mix(size.astype(np.uint64) * _K + np.uint64(seed))
-        live = np.flatnonzero(size <= _LONG)
-        at, k = self.starts[live], 0
-        acc = h[live]
-        size = size[live]
-        while len(live):
-            on = size > k
-            if not on.all():
-                h[live[~on]] = acc[~on]
-                live, at, acc, size = live[on], at[on], acc[on], size[on]
-                if not len(live):
-                    break
-            acc = (acc ^ self.data[at + k]) * np.uint64(0x100000001B3) + (acc >> np.uint64(29))
-            k += 1
-        for j in np.flatnonzero(self.ends - self.starts > _LONG):
-            h[j] = xxhash.xxh3_64_intdigest(self.data[self.starts[j] : self.ends[j]].tobytes(), seed)
-        return mix(h)
+        """A 64-bit hash of each word: the sum of its bytes' random values times powers of an odd number, from prefix sums over blocks of text."""
+        out = np.empty(len(self.starts), np.uint64)
+        values = _byte_values(seed)
+        done = 0
+        while done < len(out):
+            lo = int(self.starts[done])
+            to = max(done + 1, int(np.searchsorted(self.ends, lo + _BLOCK, side="right")))
+            hi = int(self.ends[to - 1])
+            power, inverse = _powers(hi - lo)
+            total = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(values[self.data[lo:hi]] * power[: hi - lo], out=total[1:])
+            at, end = self.starts[done:to] - lo, self.ends[done:to] - lo
+            out[done:to] = (total[end] - total[at]) * inverse[at]
+            done = to
+        return mix(out ^ mix((self.ends - self.starts).astype(np.uint64) * _K + np.uint64(seed)))
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value for each byte, by document."""
