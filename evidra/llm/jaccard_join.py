@@ -4,24 +4,30 @@ Jaccard distance is a metric, but unrelated texts all lie at distance 1 from any
 every text in one region. Regions are therefore local: each text owns the shingles that come first in a common order
 (rare before frequent, then by hash), one more than a quarter of them, and two texts within the radius own one in common. The owners of a shingle are a region.
 
-* A region of a few texts is compared outright. A larger one has a pivot, and each text's distance to it is bounded from
-  below by the distance to the pivot of its bucket counts (a projection that shortens no distance), which settles most pairs, and else computed.
-* The pivot of a region is the text that is in most regions; regions with one pivot become one.
-* Texts that are connected with the pivot are its cell and need no comparison among themselves. By the triangle inequality a text of the cell at
-  distance c from a pivot can only be linked with one outside at distance o if o - c <= radius: only that boundary of the cell is
-  replicated, and joined with what is outside around new pivots taken from there, more of them each round, until no text outside is left. Texts that are
-  connected by then are never compared.
-
-All links that matter for the components are found: a pair is left out only if proved too far or already connected.
+* A region of a few texts is joined outright: pairs whose sizes and places of the common shingle allow the radius.
+* A larger region has a first pivot, the text that is in most regions; regions with one first pivot become one. Each text's distance to it is bounded from
+  below by the distance of their bucket counts (a projection that shortens no distance), which settles most, and else computed. If all texts are connected with
+  the pivot the region is done; of the others, and of those that one of the others may reach by the triangle inequality, the region is joined again.
+* Then pivots that lie far apart (above three radii) make Voronoi cells: each text goes to its nearest pivot p, at distance d, and is replicated to later pivots within
+  the window d + 2 radii, so that any two texts within the radius meet in a cell. All distances are exact.
+* In a cell a text x stands as its difference from the pivot, the shingles that only one of the two has. Differences of two texts differ in just the shingles in which the
+  texts differ, so this is a join by symmetric difference. Texts within the radius of the pivot are connected, and a pair of which one is not must have
+  a shingle of their differences in common, early in both: common order is rare before frequent, as a sample of the region has them. The owners of such a shingle are the
+  regions of the next level. They lose the pivot at each level, so the recursion ends.
+
+All links that matter for the components are found: a pair is left out only if proved too far or already connected. Distances are computed in tasks over pieces of a
+region, and only regions' members are rows, never the pairs of a large region.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm import bloom
@@ -33,8 +39,10 @@ from evidra.llm.words import mix, slices, windows, words_of
 NEAR, WHOLE = 75, 100
 RADIUS = 0.25
 _WORDS = 5
-#: Regions up to this size are compared outright.
-SMALL = 24
+#: Regions up to this size are joined outright, those inside a cell up to this one; larger ones are read in pieces of this many texts.
+SMALL, INNER, PIECE = 24, 96, 256
+#: Pivots of a region at most, and texts that are looked at for the common order of differences.
+PIVOTS, SAMPLE = 4, 16
 
 
 class Sets:
@@ -151,15 +159,16 @@ class _Distances:
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         far = joined.where(~fits).select("a", "b", (1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("bound"))
         bounded = written(joined.where(fits).select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(bound, "a long, b long, bound double").unionAll(far), "bounds")
-        open_ = bounded.where(F.col("bound") <= RADIUS + 1e-9)
-        exact = written(self._exact(open_.select("a", "b")), "exact")
+        open_ = bounded.where(F.col("bound") <= RADIUS + 1e-9).select("a", "b")
+        exact = written(compare_sets(open_, self.sets(open_.select(F.explode(F.array("a", "b")).alias("node")))), "exact")
         return bounded.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("d", "bound").alias("bound"), F.coalesce("linked", F.lit(False)).alias("linked"))
 
-    def _exact(self, pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.reps.select("node", "rep"), "node"), "wanted")
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """``node``, ``own`` (hashes of its shingles, ascending) of each of the nodes, from one pass over the texts."""
+        wanted = written(nodes.select("node").distinct().join(self.reps.select("node", "rep"), "node"), "wanted")
         sent = self.docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("rep"), wanted.count()))
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 b = b.filter(pa.array(sent.value.has(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))))
                 for part in slices([b]):
@@ -167,24 +176,132 @@ class _Distances:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.node), pa.array([s.values[i:j].tobytes() for i, j in zip(s.at[:-1], s.at[1:], strict=True)], pa.binary())], ["rep", "node", "own"])
 
         # an id that stands there with several texts has several nodes, so both columns are joined
-        own = self.docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "rep long, node long, own binary")
-        own = written(own.join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "own"), "sets")
+        own = self.docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "rep long, node long, own binary")
+        return written(own.join(wanted, ["rep", "node"]).dropDuplicates(["node"]).select("node", "own"), "sets")
+
+
+def compare_sets(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``d`` (the exact distance), ``linked`` of pairs of nodes."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, linked = [], []
+            for x, y in zip(b.column("own_a").to_pylist(), b.column("own_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = int(_inside(x, y).sum())
+                d.append(1 - both / (len(x) + len(y) - both))
+                linked.append(WHOLE * both >= NEAR * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
+
+    side = lambda x: own.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long, d double, linked boolean")
 
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                d, linked = [], []
-                for x, y in zip(b.column("own_a").to_pylist(), b.column("own_b").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    d.append(1 - both / (len(x) + len(y) - both))
-                    linked.append(WHOLE * both >= NEAR * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
 
-        side = lambda x: own.select(F.col("node").alias(x), F.col("own").alias(f"own_{x}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long, d double, linked boolean")
+def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the ascending ``y``."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
 
 
-def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
+def voronoi(group: pa.Table, frequent: np.ndarray) -> pa.Table:
+    """Cells of a piece of a region: its members (``j`` = -1) and the region's pivots (``j`` = 0, 1, ...) with their sets.
+
+    One row for each member in each of its cells: its distance to the pivot, if they link, the size of its difference from the pivot, and those shingles of the difference, in common
+    order, at which it can meet a text that isn't linked with the pivot. With |D| for sizes of differences and n for those of sets, two texts link if their differences
+    differ in at most (n_x + n_y) / 7 shingles, so have at least o = (|D_x| + |D_y| - (n_x + n_y) / 7) / 2 in common, the first at place |D| - o at most.
+    A text y that isn't linked with p has 7 |D_y| > n_p + n_y, and a partner with |D_x| >= |D_y| - (n_x + n_y) / 7: a linked x meets y before place (7 |D_x| + n_x - n_p) / 14, y meets any other up to n_y / 3.
+    """
+    own = lambda t: [np.frombuffer(x.as_buffer(), np.uint64) for x in t["own"]]
+    some = group.filter(pa.compute.greater_equal(group["j"], 0)).sort_by("j")
+    pivots, samples = some.slice(0, PIVOTS), own(some)
+    members = group.filter(pa.compute.less(group["j"], 0))
+    kept: list[tuple[int, np.ndarray]] = []
+    for node, p in zip(pivots["node"].to_pylist(), own(pivots), strict=True):
+        both = [int(_inside(p, x).sum()) for _, x in kept]
+        if all(1 - m / (len(p) + len(x) - m) > 3 * RADIUS for m, (_, x) in zip(both, kept, strict=True)):
+            kept.append((node, p))
+    nodes, parts, sets = members["node"].to_numpy(), members["part"].to_numpy(), own(members)
+    n = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    at = np.concatenate(([0], np.cumsum(n)))
+    # how many of the samples have a shingle, or lack one of a pivot: rare ones come first
+    seen = sum((_inside(flat, x) for x in samples), np.zeros(len(flat), np.int64)) * 2 + _inside(flat, frequent)
+    hits = [_inside(flat, p) for _, p in kept]
+    both = np.array([np.diff(np.concatenate(([0], np.cumsum(h)))[at]) for h in hits]).reshape(len(kept), -1)
+    size = np.array([len(p) for _, p in kept])[:, None]
+    distance = 1 - both / (size + n - both)
+    home = distance.argmin(0) if len(n) else np.zeros(0, np.int64)
+    rows: list[tuple] = []
+    for j, (pivot, p) in enumerate(kept):
+        linked = WHOLE * both[j] >= NEAR * (len(p) + n - both[j])
+        lacked = sum((~_inside(p, x) for x in samples), np.zeros(len(p), np.int64)) * 2
+        cell = int(mix(np.array([(group["r"][0].as_py() ^ (pivot * 31)) & (1 << 64) - 1], np.uint64)).view(np.int64)[0])
+        for i in np.flatnonzero((home == j) | ((home < j) & (distance[j] - distance[home, np.arange(len(n))] <= 2 * RADIUS + 1e-9))):
+            if nodes[i] == pivot:
+                continue
+            x, gone = sets[i], ~_inside(p, sets[i])
+            new = ~hits[j][at[i] : at[i + 1]]
+            e = len(p) + len(x) - 2 * int(both[j, i])
+            most = -(-(7 * e + len(x) - len(p)) // 14) if linked[i] else len(x) // 3 + 1
+            shingles, rank = np.concatenate([x[new], p[gone]]), np.concatenate([seen[at[i] : at[i + 1]][new], lacked[gone]])
+            rows.append((cell, pivot, int(nodes[i]), int(parts[i]), bool(linked[i]), e, len(x), shingles[np.lexsort((shingles, rank))][: max(0, most)].view(np.int64)))
+    names = ["cell", "pivot", "node", "part", "linked", "e", "n", "shingles"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names)
+
+
+def _attach(rows: DataFrame, facts: DataFrame, on: list[str], most: int = 500_000) -> DataFrame:
+    """``rows`` joined with ``facts`` (a written table, one row for each key). Keys may be hot, so facts are broadcast as long as there are at most ``most`` of them; else both are shuffled and AQE splits what is skewed."""
+    return rows.join(F.broadcast(facts) if facts.count() <= most else facts, on)
+
+
+def _pairs(small: DataFrame, keys: list[str], *facts: str, far: Callable[[Column, Column], Column]) -> DataFrame:
+    """``a``, ``b``: distinct pairs of the members of small regions (at most ``INNER`` each) for which ``far`` is false."""
+    lists = small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", *facts))).alias("m"))
+    both = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: ~far(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    return lists.select(F.explode(both).alias("p")).select("p.*").distinct()
+
+
+def _refine(regions: DataFrame, sets: DataFrame, parts: DataFrame, frequent: Broadcast) -> tuple[DataFrame, DataFrame]:
+    """One level of regions (``r``, ``pivot``, ``node``): links found (``a``, ``b``), and the regions of the next level."""
+    part = lambda df, node="node": df.join(parts.withColumnsRenamed({"node": node, "component": "part"}), node, "left").withColumn("part", F.coalesce("part", node))
+    others = [F.min_by("node", F.xxhash64("node", F.lit(j))).alias(f"p{j}") for j in range(1, SAMPLE)]
+    facts = written(regions.groupBy("r").agg(F.min("pivot").alias("p0"), F.count("*").alias("size"), *others).withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int")), "pivots")
+    members = _attach(regions.select("r", "node"), facts.select("r", "pieces"), ["r"]).select("r", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), F.lit(-1).alias("j"), "node")
+    chosen = facts.select("r", "pieces", F.posexplode(F.array(*(f"p{j}" for j in range(SAMPLE)))).alias("j", "node"))
+    # these go to each piece of their region: SAMPLE rows for PIECE members
+    rows = members.unionByName(chosen.select("r", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "j", "node"))
+    rows = part(rows).join(sets, "node").select("r", "piece", "j", "node", "part", "own")
+    cells = rows.groupBy("r", "piece").applyInArrow(lambda group: voronoi(group, frequent.value), "cell long, pivot long, node long, part long, linked boolean, e long, n long, shingles array<long>")
+    cells = written(cells, "cells")
+    links = cells.where("linked").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+    owned = cells.select("cell", "node", "part", "linked", "e", "n", F.posexplode("shingles").alias("at", "s"))
+    # two texts can meet at a shingle only if u_x >= v_y and u_y >= v_x (14 (|D| - at) is at least 14 o), and one of them isn't linked with the pivot
+    u, v, open_ = 7 * F.col("e") - 14 * F.col("at") + F.col("n"), 7 * F.col("e") - F.col("n"), ~F.col("linked")
+    bounds = [F.min(v).alias("v"), F.max(u).alias("u"), F.min(F.when(open_, v)).alias("v_open"), F.max(F.when(open_, u)).alias("u_open")]
+    blocks = owned.groupBy("cell", "s").agg(F.count("*").alias("size"), F.min("part").alias("one"), F.max("part").alias("two"), *bounds)
+    blocks = written(blocks.where("size > 1 and v_open is not null and one <> two").drop("size", "one", "two"), "blocks")
+    meets = F.when(open_, (u >= F.col("v")) & (v <= F.col("u"))).otherwise((u >= F.col("v_open")) & (v <= F.col("u_open")))
+    owned = written(_attach(owned, blocks, ["cell", "s"]).where(meets).drop("u", "v", "u_open", "v_open"), "meetings")
+    sizes = written(owned.groupBy("cell", "s").agg(F.count("*").alias("size")), "sizes")
+    owned = _attach(owned, sizes, ["cell", "s"])
+
+    def far(x: Column, y: Column) -> Column:
+        need = 7 * (x["e"] + y["e"]) - x["n"] - y["n"]
+        return (x["part"] == y["part"]) | (x["linked"] & y["linked"]) | (14 * (x["e"] - x["at"]) < need) | (14 * (y["e"] - y["at"]) < need)
+
+    pairs = written(_pairs(owned.where(F.col("size") <= INNER), ["cell", "s"], "at", "e", "n", "part", "linked", far=far), "pairs")
+    found = written(compare_sets(pairs, sets).where("linked").select("a", "b"), "found")
+    large = owned.where(F.col("size") > INNER).select("cell", "s", "node")
+    degree = large.groupBy("cell", "node").agg(F.count("*").alias("degree"))
+    large = written(large.join(degree, ["cell", "node"]), "large")
+    first = written(large.groupBy("cell", "s").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("pivot")), "first")
+    deeper = _attach(large.select("cell", "s", "node"), first, ["cell", "s"]).select(F.xxhash64("cell", "pivot").alias("r"), "pivot", "node").distinct()
+    return written(links.unionByName(found), "links"), written(deeper, "regions")
+
+
+def near_documents(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
     Two texts link when 100 * intersection >= 75 * union of their sets of distinct 5-word shingles (A-Z in lower case; fewer words: the
@@ -209,7 +326,7 @@ def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
     texts = written(known.mapInArrow(own, f"doc_id {kind}, n long, node long, buckets binary, owned array<long>, rare long, full boolean"), "owned")
     reps = texts.where("n > 0").groupBy("node").agg(F.min("doc_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("rare").alias("rare"), F.any_value("full").alias("full"))
     reps = written(reps.join(texts.select(F.col("doc_id").alias("rep"), "node", "buckets").dropDuplicates(["rep", "node"]), ["rep", "node"]), "nodes")
-    owned = texts.where("n > 0").select("node", "rare", F.posexplode("owned").alias("at", "s")).select("node", "s", (F.col("at") < F.col("rare")).alias("is_rare"))
+    owned = texts.where("n > 0").select("node", "n", "rare", F.posexplode("owned").alias("at", "s")).select("node", "s", "at", "n", (F.col("at") < F.col("rare")).alias("is_rare"))
     regions = written(owned.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("s"), "regions")
     shared = spark.sparkContext.broadcast(bloom.build(regions, regions.count()))
 
@@ -217,32 +334,29 @@ def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(shared.value.has(b.column("s").to_numpy())))
 
-    members = written(owned.select("s", "node", "is_rare").mapInArrow(in_region, "s long, node long, is_rare boolean").join(regions, "s").distinct().select("s", "node", "is_rare"), "members")
+    members = owned.select("s", "node", "at", "n", "is_rare").mapInArrow(in_region, "s long, node long, at int, n long, is_rare boolean")
+    members = written(members.join(regions, "s").distinct().select("s", "node", "at", "n", "is_rare"), "members")
     distances = _Distances(known, reps.select("node", "n", "rep", "buckets"))
-    sizes = members.groupBy("s").count()
-    small = members.join(sizes.where(F.col("count") <= SMALL), "s").groupBy("s").agg(F.sort_array(F.collect_list("node")).alias("m"))  # at most SMALL each
-    pairs = small.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*").distinct()
-    large = members.join(sizes.where(F.col("count") > SMALL).select("s"), "s")
-    large = large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node")
-    pivot = large.groupBy("s").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("pivot"))
+    sizes = written(members.groupBy("s").count(), "sizes")
+    small = members.join(sizes.where(F.col("count") <= SMALL).select("s"), "s")
+    # 7 * intersection >= 3 * (n_x + n_y), of which at least what comes after the first common shingle is left
+    pairs = _pairs(small, ["s"], "at", "n", far=lambda x, y: (7 * (x["n"] - x["at"]) < 3 * (x["n"] + y["n"])) | (7 * (y["n"] - y["at"]) < 3 * (x["n"] + y["n"])))
+    large = _attach(members.select("s", "node"), written(sizes.where(F.col("count") > SMALL).select("s"), "large-regions"), ["s"])
+    large = written(large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node"), "large")
+    pivot = written(large.groupBy("s").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("pivot")), "pivots")
     # ``alone``: rare shingles that no other text owns; a text that owns all its rare ones shares none of these
     shared_rare = members.groupBy("node").agg(F.count_if("is_rare").alias("met"))
     facts = reps.join(shared_rare, "node").select("node", "n", "full", (F.col("rare") - F.col("met")).alias("alone"))
-    large = large.join(pivot, "s").select(F.col("pivot").alias("s"), "node", "degree").distinct().join(facts, "node")
-    large = written(large.select("s", "node", "degree", "n", "full", "alone", F.col("node").alias("part"), F.lit(True).alias("outside"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), "large")
-    pivots, parts = 1, None
-    for number in range(most_rounds):
-        chosen = written(_pivots(large if number else large.where("node = s"), pivots), "pivots")
-        asked = large.join(chosen, "s").where(_may_link()).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        got = written(distances.near(written((pairs.unionAll(asked).distinct() if number == 0 else asked), "pairs")), "near")
-        links = got.where("linked").select("a", "b")
-        parts = connected_components(links if parts is None else links.unionAll(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        large = written(_rest(large, chosen, got if number == 0 else None, parts), "large")
-        if large.isEmpty():
-            break
-        pivots = min(4096, max(32, pivots * 8))
-    else:
-        raise RuntimeError("regions did not settle")
+    first = written(_attach(large.select("s", "node"), pivot, ["s"]).select("pivot", "node").where("pivot <> node").distinct(), "first")
+    side = lambda x: facts.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "full", "alone")))
+    asked = first.join(side("node"), "node").join(side("pivot"), "pivot").where(_may_link()).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    got = written(distances.near(written(pairs.unionAll(asked).distinct(), "pairs")), "near")
+    parts = written(connected_components(got.where("linked").select("a", "b")), "parts")
+    level = written(_rest(first, got, parts), "regions")
+    sets = distances.sets(level.select(F.explode(F.array("node", "pivot")).alias("node"))) if not level.isEmpty() else None
+    while not level.isEmpty():  # each level's regions have lost their pivots, so this ends
+        links, level = _refine(level, sets, parts, frequent)
+        parts = written(connected_components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "parts")
     labels = reps.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "rep")
     least = labels.groupBy("part").agg(F.min("rep").alias("component_id"))
     labels = written(labels.join(least, "part").select("node", "component_id"), "labels")
@@ -251,40 +365,24 @@ def near_documents(docs: DataFrame, most_rounds: int = 40) -> DataFrame:
     return rows.unionAll(lost)
 
 
-_FACTS = ("n", "full", "alone", "part", "lo", "hi")
-
-
-def _pivots(large: DataFrame, most: int) -> DataFrame:
-    """Up to ``most`` pivots of each region: of the texts outside its cell, those in most regions."""
-    rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("degree"), "node"))
-    ranked = large.where("outside").select("s", "node", *_FACTS, rank.alias("k")).where(F.col("k") <= most)
-    return ranked.select("s", F.col("node").alias("pivot"), *(F.col(c).alias(f"p_{c}") for c in _FACTS))
-
-
 def _may_link() -> Column:
-    """If a text and a pivot of its region may lie within the radius and aren't connected: by their sizes, by what each has alone, and by the
-    triangle inequality on their distances to the region's first pivot (``lo`` to ``hi``)."""
-    n, p, most = F.col("n"), F.col("p_n"), F.least("n", "p_n")
-    both = F.least(most, F.when(F.col("p_full"), n - F.col("alone")).otherwise(most), F.when(F.col("full"), p - F.col("p_alone")).otherwise(most))
-    near = (F.col("lo") - F.col("p_hi") <= RADIUS + 1e-9) & (F.col("p_lo") - F.col("hi") <= RADIUS + 1e-9)
-    return (F.col("part") != F.col("p_part")) & (WHOLE * both >= NEAR * (n + p - both)) & near
+    """If a text and its region's first pivot may lie within the radius, by their sizes and by what each has alone."""
+    n, p, most = F.col("node_n"), F.col("pivot_n"), F.least("node_n", "pivot_n")
+    both = F.least(most, F.when(F.col("pivot_full"), n - F.col("node_alone")).otherwise(most), F.when(F.col("node_full"), p - F.col("pivot_alone")).otherwise(most))
+    return WHOLE * both >= NEAR * (n + p - both)
 
 
-def _rest(large: DataFrame, chosen: DataFrame, got: DataFrame | None, parts: DataFrame) -> DataFrame:
-    """What each region still has to join: the texts that haven't been pivots, as long as one of them is outside the cell.
+def _rest(first: DataFrame, got: DataFrame, parts: DataFrame) -> DataFrame:
+    """What the regions of first pivots (``pivot``, ``node``) still have to join, as (``r``, ``pivot``, ``node``).
 
-    The cell is what is connected with the region's first pivot, whose node names the region. After the first round (``got``) the
-    distances to that pivot are kept, and of the cell only the boundary: texts that one outside may reach.
+    Regions with a text that isn't connected with the pivot: those texts, and of the others the ones that such a text may reach by the triangle inequality.
     """
-    known = parts.withColumnRenamed("node", "x")
-    cells = known.select(F.col("x").alias("s"), F.col("component").alias("cell"))
-    rest = large.join(chosen.select("s", F.col("pivot").alias("node")), ["s", "node"], "left_anti").drop("part", "outside")
-    rest = rest.join(known, F.col("node") == F.col("x"), "left").withColumn("part", F.coalesce("component", "node")).drop("x", "component").join(cells, "s", "left")
-    rest = rest.withColumn("outside", F.col("part") != F.coalesce("cell", "s")).drop("cell")
-    if got is not None:
-        bounds = got.select("a", "b", "bound", "linked")
-        rest = rest.withColumns({"a": F.least("node", "s"), "b": F.greatest("node", "s")}).join(bounds, ["a", "b"], "left")
-        rest = rest.withColumns({"lo": F.coalesce("bound", F.lit(0.0)), "hi": F.when(F.col("linked"), F.col("bound")).otherwise(1.0)}).drop("a", "b", "bound", "linked")
-    least = rest.where("outside").groupBy("s").agg(F.min("lo").alias("o"))
-    rest = rest.join(least, "s").where(F.col("outside") | (F.col("hi") >= F.col("o") - RADIUS - 1e-9))
-    return rest.select("s", "node", "degree", *_FACTS, "outside")
+    part = lambda x, name: parts.select(F.col("node").alias(x), F.col("component").alias(name))
+    rows = first.join(part("node", "own"), "node", "left").join(part("pivot", "cell"), "pivot", "left")
+    rows = rows.select("pivot", "node", (F.coalesce("own", "node") != F.coalesce("cell", "pivot")).alias("outside"), F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    rows = rows.join(got, ["a", "b"], "left").select("pivot", "node", "outside", F.coalesce("bound", F.lit(0.0)).alias("lo"), F.when(F.col("linked"), F.col("bound")).otherwise(1.0).alias("hi"))
+    rows = written(rows, "bounded")
+    # a region of one other text is done: it was compared with the pivot
+    least = written(rows.groupBy("pivot").agg(F.min(F.when(F.col("outside"), F.col("lo"))).alias("o"), F.count("*").alias("size")).where("o is not null and size > 1").select("pivot", "o"), "outside")
+    rows = _attach(rows, least, ["pivot"]).where(F.col("outside") | (F.col("hi") >= F.col("o") - RADIUS - 1e-9))
+    return rows.select(F.col("pivot").alias("r"), "pivot", "node")

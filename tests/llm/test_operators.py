@@ -351,6 +351,50 @@ def test_jaccard_join_against_all_pairs(spark):
     assert jaccard_join.near_documents(docs(spark, [])).count() == 0
 
 
+def test_large_group_whose_copies_are_mostly_not_linked_with_its_pivot(spark):
+    """Copies of one text with a few or many edits, some of them copies of copies: linked pairs lie among thousands that aren't."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(4))
+    base = [word() for _ in range(120)]
+
+    def edited(t, most):
+        t = list(t)
+        for _ in range(rng.randrange(1, most)):
+            at = rng.randrange(len(t))
+            if rng.random() < 0.3:
+                del t[at : at + rng.randrange(1, 12)]
+            else:
+                t[at] = word()
+        return t
+
+    far = [edited(base, 14) for _ in range(1500)]
+    texts = far + [edited(rng.choice(far), 3) for _ in range(1500)] + [edited(far[0], 8) for _ in range(400)]
+    texts = [" ".join(t) for t in texts]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_documents(docs(spark, texts)).collect()}
+    sets = [shingles(t) for t in texts]
+    shared = {x: i for i, x in enumerate(x for x, n in Counter(itertools.chain.from_iterable(sets)).items() if n > 1)}
+    has = np.zeros((len(texts), len(shared)), np.float32)
+    for i, own in enumerate(sets):
+        has[i, [shared[x] for x in own if x in shared]] = 1
+    both, size = has @ has.T, np.array([len(x) for x in sets])
+    linked = np.triu(100 * both >= 75 * (size[:, None] + size - both), 1)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in np.argwhere(linked).tolist():
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    want = {i: find(i) for i in range(len(texts))}
+    assert len(set(want.values())) > 100 and linked.sum() > 1000
+    assert got == want
+
+
 def test_bucket_counts_never_rule_out_a_link():
     import pyarrow as pa
 
