@@ -1,15 +1,18 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-Pieces and log scores come from a SentencePiece model file. Text gets a leading white-space marker and each space becomes one;
+Pieces come from a SentencePiece model file, and so do the log scores if it is a unigram model. A BPE file has ranks instead: its pieces get the log probabilities of Zipf's law,
+``-log(rank) - log(sum of 1/rank)``, rounded to 1/32 so that sums are exact in single precision too. ``write_model`` saves pieces and scores as a unigram model file, and the
+library's ids with that file are the ids given here. Text gets a leading white-space marker and each space becomes one;
 the path with the highest sum of scores wins (of equal ones, the one with the longer last piece), a character without
 a piece falls back to its UTF-8 bytes. No piece has a marker after other characters, nor a line feed, so texts are cut
 into units there (markers with the characters that follow them), and each worker runs the Viterbi search once for a distinct unit,
-for many units at a time, keeping a bounded table.
+for many short units at a time, keeping a bounded table.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,8 +26,8 @@ from evidra.llm.words import slices
 
 MARK = "▁"
 _UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-#: Units up to this many bytes are searched together.
-_SHORT = 64
+#: Units up to this many bytes are searched together; of longer ones this many bytes at a time are looked up.
+_SHORT, _LOOK = 64, 1 << 16
 
 
 class DoubleArray:
@@ -107,26 +110,110 @@ def load_pieces(path: str, most: int = 1_000_000) -> Pieces:
             bytes_of.append(piece.replace(MARK, " ").encode())
     if (byte_ids < 0).any():
         raise ValueError("the model has no byte fallback")
-    scores = np.array([model.get_score(i) for i in ids])
+    scores = log_scores(np.array([model.get_score(i) for i in ids]))
     return Pieces(DoubleArray(keys), np.array(ids), scores, float(scores.min()) - 10, byte_ids, np.zeros(256), bytes_of)
 
 
+def log_scores(scores: np.ndarray) -> np.ndarray:
+    """Log scores of pieces: a unigram model's as they are; where all are whole numbers they are ranks, and Zipf's law gives the scores."""
+    if not len(scores) or (scores != np.round(scores)).any():
+        return scores
+    rank = np.argsort(np.argsort(-scores, kind="stable"), kind="stable") + 1.0
+    return np.round(32 * (-np.log(rank) - np.log((1 / rank).sum()))) / 32
+
+
+def write_model(path: str, out: str) -> None:
+    """The pieces of a model file with their log scores as a unigram model file that the library reads."""
+    import sentencepiece
+
+    model, p = sentencepiece.SentencePieceProcessor(model_file=path), load_pieces(path)
+    score = dict(zip(p.ids.tolist(), p.scores.tolist(), strict=True))
+
+    def number(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    sized = lambda tag, data: number(tag << 3 | 2) + number(len(data)) + data
+    whole = lambda tag, n: number(tag << 3) + number(n)
+    # Kinds of pieces and field numbers of the model file's format.
+    normal, unknown, control, byte = 1, 2, 3, 6
+    data = b""
+    for i in range(model.get_piece_size()):
+        kind = byte if model.is_byte(i) else unknown if model.is_unknown(i) else control if model.is_control(i) or model.is_unused(i) else normal
+        data += sized(1, sized(1, model.id_to_piece(i).encode()) + number(2 << 3 | 5) + struct.pack("<f", score.get(i, 0.0)) + whole(3, kind))
+    unigram, byte_fallback = whole(3, 1), whole(35, 1)
+    data += sized(2, unigram + byte_fallback) + sized(3, sized(1, b"identity") + whole(3, 1) + whole(4, 0) + whole(5, 1))
+    with open(out, "wb") as f:
+        f.write(data)
+
+
 def viterbi(p: Pieces, units: list[bytes]) -> list[tuple[bytes, float]]:
-    """Little-endian ids and score of each unit; units of about equal length are searched together."""
+    """Little-endian ids and score of each unit; short units of about equal length are searched together."""
     out: list = [None] * len(units)
-    length = np.array([len(u) for u in units])
+    length = np.array([len(u) for u in units], np.int64)
     order = np.argsort(length, kind="stable")
-    at = 0
-    while at < len(order):
-        longest = int(length[order[at]])
-        to = at + 1 if longest > _SHORT else min(int(np.searchsorted(length[order], min(_SHORT, longest + max(1, longest // 4)), side="right")), at + 50_000)
+    size = length[order]
+    at, short = 0, int(np.searchsorted(size, _SHORT, side="right"))
+    while at < short:
+        longest = int(size[at])
+        to = min(int(np.searchsorted(size, min(_SHORT, longest + max(1, longest // 4)), side="right")), at + 50_000)
         group = order[at:to]
         for i, x in zip(group, _search(p, [units[i] for i in group]), strict=True):
             out[i] = x
         at = to
+    for i in order[short:]:
+        out[i] = _search_long(p, units[i])
     return out
 
 
+def _matches(p: Pieces, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pieces from these starts (of characters), as start, end and number, in the order of starts and ends; a character without a piece of its own has number -1."""
+    base, check, value = p.trie.base, p.trie.check, p.trie.value
+    first = text[starts]
+    width = np.where(first < 0x80, 1, np.where(first >= 0xF0, 4, np.where(first >= 0xE0, 3, 2)))
+    got, single = [], np.zeros(len(starts), bool)
+    live, node, d = np.arange(len(starts)), np.zeros(len(starts), np.int32), 0
+    while len(live):
+        inside = starts[live] + d < len(text)
+        live, node = live[inside], node[inside]
+        to = base[node] + text[starts[live] + d]
+        on = check[to] == node
+        live, node, d = live[on], to[on], d + 1
+        hit = value[node] >= 0
+        own = live[hit]
+        single[own[width[own] == d]] = True
+        got.append((starts[own], starts[own] + d, value[node[hit]]))
+    alone = np.flatnonzero(~single)
+    got.append((starts[alone], starts[alone] + width[alone], np.full(len(alone), -1)))
+    start, end, key = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((end, start))
+    return start[order], end[order], key[order]
+
+
+def _search_long(p: Pieces, unit: bytes) -> tuple[bytes, float]:
+    """One unit of any length: pieces are looked up for many places at a time, the best path goes through them once."""
+    text = np.frombuffer(unit, np.uint8)
+    starts = np.flatnonzero((text & 0xC0) != 0x80)
+    best, back, kind = [-np.inf] * (len(unit) + 5), [0] * (len(unit) + 5), [-1] * (len(unit) + 5)
+    best[0] = 0.0
+    for at in range(0, len(starts), _LOOK):
+        start, end, key = _matches(p, text, starts[at : at + _LOOK])
+        score = np.where(key >= 0, p.scores[key], p.unknown)
+        for s, e, k, x in zip(start.tolist(), end.tolist(), key.tolist(), score.tolist(), strict=True):
+            x += best[s]
+            if x > best[e]:
+                best[e], back[e], kind[e] = x, s, k
+    ids, at = [], len(unit)
+    while at > 0:
+        ids.append(p.ids[kind[at]] if kind[at] >= 0 else p.byte_ids[text[back[at] : at]][::-1])
+        at = back[at]
+    flat = np.concatenate([np.atleast_1d(x) for x in ids])[::-1] if ids else np.zeros(0, np.int64)
+    return flat.astype("<u4").tobytes(), best[len(unit)]
+
+
 def _search(p: Pieces, units: list[bytes]) -> list[tuple[bytes, float]]:
     n, size = len(units), max(map(len, units))
     text = np.zeros((n, size + 1), np.uint8)

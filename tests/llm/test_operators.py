@@ -105,6 +105,30 @@ def test_pieces_against_plain_search(spark):
     assert [r["text"] for r in sentence_pieces.decode_documents(frame, PIECES).orderBy("doc_id").collect()] == [(t or "").replace("▁", " ") for t in texts]
 
 
+def test_ids_are_the_library_s_for_the_written_model(spark, tmp_path):
+    """The library reads the unigram model and gives the same ids for whole texts, odd and very long units too."""
+    import sentencepiece
+
+    sentence_pieces.write_model(PIECES, f"{tmp_path}/unigram.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/unigram.model")
+    p = sentence_pieces.load_pieces(f"{tmp_path}/unigram.model")
+    given = sentence_pieces.load_pieces(PIECES)
+    assert (p.scores == given.scores).all() and (p.scores < 0).all() and np.exp(p.scores).sum() == pytest.approx(1, abs=0.01)
+    rng = random.Random(2)
+    texts = ["", " ", "a" * 3000, "日本語" * 2000, "x" * 70, "\n\n a", "😀" * 40 + "ab" * 50] + ["".join(rng.choice(["a", "the", "en", " ", "  ", "\n", "é", "日", "😀", "\t", "ing", "ﬁ", "क"]) for _ in range(rng.randrange(300))) for _ in range(200)]
+    texts += [r["text"] or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    got = [np.frombuffer(x, "<u4").tolist() for x, _ in sentence_pieces.encode_texts(given, texts)]
+    assert got == library.encode(texts, num_threads=1)
+
+
+def test_long_units_as_short_ones(monkeypatch):
+    p = sentence_pieces.load_pieces(PIECES)
+    rng = random.Random(3)
+    units = ["".join(rng.choice(["a", "b", "the", "日", "é", "😀", "ing"]) for _ in range(rng.randrange(1, 18))).encode()[:64].decode("utf-8", "ignore").encode() for _ in range(300)]
+    monkeypatch.setattr(sentence_pieces, "_LOOK", 7)
+    assert [sentence_pieces._search_long(p, u) for u in units] == sentence_pieces.viterbi(p, units)
+
+
 def test_double_array_holds_its_keys():
     keys = [b"a", b"ab", b"abc", b"b", b"\xff\x00", b"zz"]
     trie = sentence_pieces.DoubleArray(keys)
