@@ -12,7 +12,7 @@ every text in one region. Regions are therefore local: each text owns the shingl
   the window d + 2 radii, so that any two texts within the radius meet in a cell. All distances are exact.
 * In a cell a text x stands as its difference from the pivot, the shingles that only one of the two has. Differences of two texts differ in just the shingles in which the
   texts differ, so this is a join by symmetric difference. Texts within the radius of the pivot are connected, and a pair of which one is not must have
-  a shingle of their differences in common, early in both: common order is rare before frequent, as a sample of the region has them. The owners of such a shingle are the
+  a shingle of their differences in common, early in both (and, of those left, sketches that differ in few bits): common order is rare before frequent, as a sample of the region has them. The owners of such a shingle are the
   regions of the next level. They lose the pivot at each level, so the recursion ends.
 
 All links that matter for the components are found: a pair is left out only if proved too far or already connected. Distances are computed in tasks over pieces of a
@@ -40,7 +40,7 @@ NEAR, WHOLE = 75, 100
 RADIUS = 0.25
 _WORDS = 5
 #: Regions up to this size are joined outright, those inside a cell up to this one; larger ones are read in pieces of this many texts.
-SMALL, INNER, PIECE = 24, 96, 256
+SMALL, INNER, PIECE = 24, 256, 256
 #: Pivots of a region at most, and texts that are looked at for the common order of differences.
 PIVOTS, SAMPLE = 4, 16
 
@@ -197,6 +197,12 @@ def compare_sets(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long, d double, linked boolean")
 
 
+def sketch(x: np.ndarray) -> list[int]:
+    """1024 bits, as 16 numbers: the parity of the shingles with each value of the hash's last ten bits. Two sets differ in at least as many shingles as their sketches in bits."""
+    odd = (np.bincount((x & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of ``x`` are in the ascending ``y``."""
     if not len(y):
@@ -245,10 +251,10 @@ def voronoi(group: pa.Table, frequent: np.ndarray) -> pa.Table:
             e = len(p) + len(x) - 2 * int(both[j, i])
             most = -(-(7 * e + len(x) - len(p)) // 14) if linked[i] else len(x) // 3 + 1
             shingles, rank = np.concatenate([x[new], p[gone]]), np.concatenate([seen[at[i] : at[i + 1]][new], lacked[gone]])
-            rows.append((cell, pivot, int(nodes[i]), int(parts[i]), bool(linked[i]), e, len(x), shingles[np.lexsort((shingles, rank))][: max(0, most)].view(np.int64)))
-    names = ["cell", "pivot", "node", "part", "linked", "e", "n", "shingles"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names)
+            rows.append((cell, pivot, int(nodes[i]), int(parts[i]), bool(linked[i]), e, len(x), sketch(x), shingles[np.lexsort((shingles, rank))][: max(0, most)].view(np.int64)))
+    names = ["cell", "pivot", "node", "part", "linked", "e", "n", "sketch", "shingles"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 9, types, strict=True)], names)
 
 
 def _attach(rows: DataFrame, facts: DataFrame, on: list[str], most: int = 500_000) -> DataFrame:
@@ -258,7 +264,7 @@ def _attach(rows: DataFrame, facts: DataFrame, on: list[str], most: int = 500_00
 
 def _pairs(small: DataFrame, keys: list[str], *facts: str, far: Callable[[Column, Column], Column]) -> DataFrame:
     """``a``, ``b``: distinct pairs of the members of small regions (at most ``INNER`` each) for which ``far`` is false."""
-    lists = small.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("node", *facts))).alias("m"))
+    lists = small.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("node", *facts))).alias("m"))
     both = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: ~far(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     return lists.select(F.explode(both).alias("p")).select("p.*").distinct()
 
@@ -273,10 +279,10 @@ def _refine(regions: DataFrame, sets: DataFrame, parts: DataFrame, frequent: Bro
     # these go to each piece of their region: SAMPLE rows for PIECE members
     rows = members.unionByName(chosen.select("r", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "j", "node"))
     rows = part(rows).join(sets, "node").select("r", "piece", "j", "node", "part", "own")
-    cells = rows.groupBy("r", "piece").applyInArrow(lambda group: voronoi(group, frequent.value), "cell long, pivot long, node long, part long, linked boolean, e long, n long, shingles array<long>")
+    cells = rows.groupBy("r", "piece").applyInArrow(lambda group: voronoi(group, frequent.value), "cell long, pivot long, node long, part long, linked boolean, e long, n long, sketch array<long>, shingles array<long>")
     cells = written(cells, "cells")
     links = cells.where("linked").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    owned = cells.select("cell", "node", "part", "linked", "e", "n", F.posexplode("shingles").alias("at", "s"))
+    owned = cells.select("cell", "node", "part", "linked", "e", "n", "sketch", F.posexplode("shingles").alias("at", "s"))
     # two texts can meet at a shingle only if u_x >= v_y and u_y >= v_x (14 (|D| - at) is at least 14 o), and one of them isn't linked with the pivot
     u, v, open_ = 7 * F.col("e") - 14 * F.col("at") + F.col("n"), 7 * F.col("e") - F.col("n"), ~F.col("linked")
     bounds = [F.min(v).alias("v"), F.max(u).alias("u"), F.min(F.when(open_, v)).alias("v_open"), F.max(F.when(open_, u)).alias("u_open")]
@@ -289,9 +295,10 @@ def _refine(regions: DataFrame, sets: DataFrame, parts: DataFrame, frequent: Bro
 
     def far(x: Column, y: Column) -> Column:
         need = 7 * (x["e"] + y["e"]) - x["n"] - y["n"]
-        return (x["part"] == y["part"]) | (x["linked"] & y["linked"]) | (14 * (x["e"] - x["at"]) < need) | (14 * (y["e"] - y["at"]) < need)
+        apart = F.aggregate(F.zip_with(x["sketch"], y["sketch"], lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+        return (x["part"] == y["part"]) | (x["linked"] & y["linked"]) | (14 * (x["e"] - x["at"]) < need) | (14 * (y["e"] - y["at"]) < need) | (7 * apart > x["n"] + y["n"])
 
-    pairs = written(_pairs(owned.where(F.col("size") <= INNER), ["cell", "s"], "at", "e", "n", "part", "linked", far=far), "pairs")
+    pairs = written(_pairs(owned.where(F.col("size") <= INNER), ["cell", "s"], "at", "e", "n", "part", "linked", "sketch", far=far), "pairs")
     found = written(compare_sets(pairs, sets).where("linked").select("a", "b"), "found")
     large = owned.where(F.col("size") > INNER).select("cell", "s", "node")
     degree = large.groupBy("cell", "node").agg(F.count("*").alias("degree"))
@@ -356,7 +363,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     sets = distances.sets(level.select(F.explode(F.array("node", "pivot")).alias("node"))) if not level.isEmpty() else None
     while not level.isEmpty():  # each level's regions have lost their pivots, so this ends
         links, level = _refine(level, sets, parts, frequent)
-        parts = written(connected_components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))), "parts")
+        parts = written(_merged(parts, links), "parts")
     labels = reps.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "rep")
     least = labels.groupBy("part").agg(F.min("rep").alias("component_id"))
     labels = written(labels.join(least, "part").select("node", "component_id"), "labels")
@@ -365,6 +372,15 @@ def near_documents(docs: DataFrame) -> DataFrame:
     return rows.unionAll(lost)
 
 
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links: only the links between different parts are joined up, by the parts' names."""
+    name = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    moved = written(connected_components(between.where("a <> b")).withColumnsRenamed({"node": "was", "component": "now"}), "moved")
+    # a part's name is the least node in it, which has no row of its own until it is moved
+    return parts.join(moved, parts["component"] == moved["was"], "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(moved.select(F.col("was").alias("node"), F.col("now").alias("component")))
+
+
 def _may_link() -> Column:
     """If a text and its region's first pivot may lie within the radius, by their sizes and by what each has alone."""
     n, p, most = F.col("node_n"), F.col("pivot_n"), F.least("node_n", "pivot_n")

@@ -419,6 +419,15 @@ def test_large_group_whose_copies_are_mostly_not_linked_with_its_pivot(spark):
     assert got == want
 
 
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 62, 200, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.random()], rng.integers(0, 1 << 62, int(rng.integers(0, 80)), dtype=np.uint64)]))
+        apart = sum((p ^ q) .bit_count() if (p ^ q) >= 0 else ((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(jaccard_join.sketch(x), jaccard_join.sketch(y), strict=True))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_bucket_counts_never_rule_out_a_link():
     import pyarrow as pa
 
