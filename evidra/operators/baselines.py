@@ -1,25 +1,146 @@
 """Text baselines with one domain held out at a time.
 
-A fold's training statistics are the totals less the held-out domain's, so one table of counts by (domain, label, feature) serves
-every fold, and folds are a column, never a loop. Input: cases (case_id, domain, label, text). Predictions: case_id,
+A fold's training statistics are the totals less the held-out domain's, so one table of counts by (domain, feature) serves
+every fold. Labels are array positions: a case has one label for each permutation (the first is its own), and each feature's counts are an array over permutations and labels, so folds, permutations
+and methods are columns of one plan and the texts are read once. Input: cases (case_id, domain, label, text). Predictions: case_id,
 domain (the fold), label, predicted. Ties go to the smallest label.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.sources.io import attach, settled
 
 KEY = ["case_id", "domain", "label"]
 DIGITS = 9
-
-
-def token_counts(cases: DataFrame, words: Column | None = None) -> DataFrame:
-    """case_id, domain, label, feature, n."""
-    each = cases.select(*KEY, F.explode(T.tokens(F.col("text")) if words is None else words).alias("feature"))
-    return each.groupBy(*KEY, "feature").agg(F.count("*").alias("n"))
+#: Labels of a table, at most: they are columns of the plans.
+LABELS = 200
+
+
+@dataclass
+class TextFit:
+    """Counts of the cases' features, and what each fold's training rows make of them.
+
+    ``words`` gives a case's features (default: its tokens). ``perms`` may hold label permutations (perm, case_id, label) that training rows take instead of their own labels; test rows keep theirs.
+    """
+
+    cases: DataFrame
+    words: Column | None = None
+    perms: DataFrame | None = None
+
+    @cached_property
+    def labels(self) -> list[str]:
+        got = sorted(r[0] for r in self.cases.select("label").distinct().limit(LABELS + 1).collect() if r[0] is not None)
+        if len(got) > LABELS:
+            raise ValueError(f"more than {LABELS} labels")
+        return got
+
+    @cached_property
+    def runs(self) -> int:
+        """Label assignments: the cases' own, or each permutation."""
+        return 1 if self.perms is None else self.perms.agg(F.max("perm")).first()[0] or 0
+
+    @cached_property
+    def learnt(self) -> DataFrame:
+        """case_id, domain, label, y: the labels a case teaches, as positions, one for each run; text."""
+        place = F.array_position(F.array(*map(F.lit, self.labels)).cast("array<string>"), F.col("label")) - 1
+        if self.perms is None:
+            return self.cases.select(*KEY, F.array(place).alias("y"), "text")
+        own = self.perms.select("case_id", "perm", place.alias("y")).groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "y"))), lambda s: s["y"]).alias("y"))
+        return self.cases.select(*KEY, "text").join(own, "case_id")
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """case_id, domain, label, y, feature, n; written once."""
+        words = T.tokens(F.col("text")) if self.words is None else self.words
+        each = self.learnt.select(*KEY, "y", F.explode(words).alias("feature"))
+        return settled(each.groupBy(*KEY, "y", "feature").agg(F.count("*").alias("n")), "counts")
+
+    def _cells(self) -> list[tuple[int, int]]:
+        return [(p, k) for p in range(self.runs) for k in range(len(self.labels))]
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """domain, feature, cases (that have it), all (its training count in the fold) and ``m``: training counts by run and label."""
+        sums = [F.sum(F.when(F.col("y")[p] == k, F.col("n")).otherwise(0)).alias(f"c{i}") for i, (p, k) in enumerate(self._cells())]
+        own = settled(self.counts.groupBy("domain", "feature").agg(F.count("*").alias("cases"), *sums), "own")
+        names = [f"c{i}" for i in range(len(sums))]
+        total = own.groupBy("feature").agg(*(F.sum(c).alias(f"t_{c}") for c in names))
+        own = own.join(total, "feature")
+        self._total = total.agg(F.count("*").alias("kinds_all"), F.array(*(F.sum(f"t_{c}") for c in names)).alias("t"), F.array(*(F.sum(F.col(f"t_{c}") * F.col(f"t_{c}")) for c in names)).alias("tt"), F.array(*(F.count_if(F.col(f"t_{c}") > 0) for c in names)).alias("kinds"))
+        left = [F.col(f"t_{c}") - F.col(c) for c in names]
+        return settled(own.select("domain", "feature", "cases", F.array(*left).alias("m"), F.array(*(F.col(f"t_{c}") for c in names)).alias("t")), "features")
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """Per fold and run-label cell arrays: ``n`` (training features), ``ss`` (sum of squared counts), ``kinds`` (distinct ones), ``docs`` (training rows); ``v`` distinct training features, ``n_train`` rows."""
+        f, cells = self.features, self._cells()
+        gone = lambda g: F.array(*(F.sum(g(F.col("t")[i], F.col("m")[i])) for i in range(len(cells))))
+        # a feature's whole count is that of any one run's labels
+        rest = sum((F.col("m")[i] for i in range(len(self.labels))), F.lit(0))
+        less = f.groupBy("domain").agg(gone(lambda t, m: t - m).alias("n_"), gone(lambda t, m: t * t - m * m).alias("ss_"), gone(lambda t, m: ((t > 0) & (m == 0)).cast("long")).alias("kinds_"), F.count_if(rest == 0).alias("only"))
+        one = [F.count_if(F.col("y")[p] == k).alias(f"d{i}") for i, (p, k) in enumerate(cells)]
+        docs = self.learnt.groupBy("domain").agg(F.count("*").alias("own"), *one)
+        whole = docs.agg(F.sum("own").alias("rows"), F.array(*(F.sum(f"d{i}") for i in range(len(cells)))).alias("docs_all"))
+        grid = docs.select("domain", "own", F.array(*(f"d{i}" for i in range(len(cells)))).alias("docs_")).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(self._total))  # one row each
+        minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - F.coalesce(y, F.lit(0)))
+        none = F.array_repeat(F.lit(0).cast("long"), len(cells))
+        got = grid.join(less, "domain", "left").select("domain", minus("t", F.coalesce("n_", none)).alias("n"), minus("tt", F.coalesce("ss_", none)).alias("ss"), minus("kinds", F.coalesce("kinds_", none)).alias("kinds"), minus("docs_all", "docs_").alias("docs"), (F.col("kinds_all") - F.coalesce("only", F.lit(0))).alias("v"), (F.col("rows") - F.col("own")).alias("n_train"))
+        return settled(got, "sizes")
+
+    @cached_property
+    def sums(self) -> DataFrame:
+        """Per case: label, its features (``words``), sum of n log(m + 1) (``gain``), sum of n m (``dot``), by run and label; then the fold's sizes. Cases of a fold without training rows are left out."""
+        hot = F.col("cases") >= 1000  # at most a thousandth of the counts: broadcast while they are few
+        f, parts = self.features.select("domain", "feature", "cases", "m"), []
+        often = settled(f.where(hot).select("domain", "feature", "m"), "often")
+        parts.append(attach(self.counts, often, ["domain", "feature"]))
+        parts.append(self.counts.join(F.broadcast(often.select("domain", "feature")) if often.limit(500_001).count() <= 500_000 else often.select("domain", "feature"), ["domain", "feature"], "left_anti").join(f.where(~hot).select("domain", "feature", "m"), ["domain", "feature"]))
+        each = parts[0].unionByName(parts[1])
+        cells = range(len(self._cells()))
+        sums = [F.sum(F.col("n") * F.log(F.col("m")[i] + 1)).alias(f"g{i}") for i in cells] + [F.sum(F.col("n") * F.col("m")[i]).alias(f"h{i}") for i in cells]
+        got = each.groupBy("case_id").agg(F.sum("n").alias("words"), *sums)
+        got = got.select("case_id", "words", F.array(*(f"g{i}" for i in cells)).alias("gain"), F.array(*(f"h{i}" for i in cells)).alias("dot"))
+        zero = F.array_repeat(F.lit(0.0), len(cells))
+        rows = self.learnt.select(*KEY).join(self.sizes.where("n_train > 0"), "domain").join(got, "case_id", "left")
+        rows = rows.withColumns({"words": F.coalesce("words", F.lit(0)), "gain": F.coalesce("gain", zero), "dot": F.coalesce("dot", zero)})
+        return settled(rows, "sums")
+
+    def predict(self, *methods: str) -> DataFrame:
+        """method, run (from 1), case_id, domain, label, predicted."""
+        k, col = len(self.labels), F.col
+        if not k:
+            return self.cases.select(F.lit("").alias("method"), F.lit(1).alias("run"), *KEY, F.lit(None).cast("string").alias("predicted")).where("false")
+
+        # a run's cell of a label in the arrays: runs are rows here, so the plan is the same for any number of them
+        at = lambda name, i: F.get(name, (col("run") - 1) * k + i)
+        n, docs, ss, dot, gain, kinds = ((lambda i, name=name: at(name, i)) for name in ("n", "docs", "ss", "dot", "gain", "kinds"))
+
+        def most(score, valid=lambda i: F.lit(True)) -> Column:
+            """The label with the highest score among the valid ones."""
+            each = [F.when(valid(i), F.struct((-F.round(score(i), DIGITS)).alias("s"), F.lit(x).alias("l"))) for i, x in enumerate(self.labels)]
+            return F.array_min(F.array(*each))["l"]
+
+        both = sum((n(i) for i in range(k)), F.lit(0))
+        majority = most(lambda i: docs(i).cast("double"))
+        # a fold that lacks a class takes the majority for all
+        full = F.least(*(docs(i) for i in range(k)), F.lit(1)) > 0
+        known = {
+            "majority": majority,
+            "naive_bayes": most(lambda i: F.when(n(i) > 0, F.log(n(i) / both)).otherwise(-1e12) + gain(i) - col("words") * F.log(n(i) + col("v"))),
+            "keyword": F.when(col("words") > 0, most(lambda i: kinds(i) / both * (1 + dot(i)))).otherwise(majority),
+            "nearest_centroid": F.when(full, most(lambda i: 2 * dot(i) / docs(i) - ss(i) / docs(i) / docs(i))).otherwise(majority),
+            "char_profile": F.coalesce(most(lambda i: dot(i) / F.sqrt(ss(i)), lambda i: dot(i) > 0), majority),
+        }
+        rows = self.sums.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(self.runs))))
+        said = F.array(*(F.struct(F.lit(m).alias("method"), known[m].alias("predicted")) for m in methods))
+        return rows.select(*KEY, "run", F.explode(said).alias("e")).select("e.method", "run", *KEY, "e.predicted")
 
 
 def folds(cases: DataFrame) -> DataFrame:
@@ -45,102 +166,55 @@ def best(scored: DataFrame, score: str = "score", key: tuple = ("case_id", "doma
 
 def majority(cases: DataFrame) -> DataFrame:
     top = label_counts(cases).groupBy("domain").agg(F.min_by("label", F.struct(-F.col("n_train"), F.col("label"))).alias("predicted"))
-    return cases.select(*KEY).join(F.broadcast(top), "domain")
-
-
-def fold_features(counts: DataFrame) -> DataFrame:
-    """Per fold, class and feature of the held-out domain: the training count ``n_class``. Features that no case of the fold has don't matter."""
-    total = counts.groupBy("feature", F.col("label").alias("class")).agg(F.sum("n").alias("t"))
-    own = counts.groupBy("domain", "feature", F.col("label").alias("class")).agg(F.sum("n").alias("own"))
-    asked = own.select("domain", "feature").distinct()
-    return asked.join(total, "feature").join(own, ["domain", "feature", "class"], "left").select("domain", "feature", "class", (F.col("t") - F.coalesce("own", F.lit(0))).alias("n_class"))
+    return cases.select(*KEY).join(top, "domain")
 
 
-def class_sizes(counts: DataFrame) -> DataFrame:
-    """Per fold and class: training features (tokens) and the sum of squares of its counts."""
-    total = counts.groupBy("feature", F.col("label").alias("class")).agg(F.sum("n").alias("t"))
-    own = counts.groupBy("domain", "feature", F.col("label").alias("class")).agg(F.sum("n").alias("own"))
-    whole = total.groupBy("class").agg(F.sum("t").alias("n"), F.sum(F.col("t") * F.col("t")).alias("ss"))
-    less = own.join(total, ["feature", "class"]).groupBy("domain", "class").agg(F.sum("own").alias("own_n"), F.sum(F.col("t") * F.col("t") - (F.col("t") - F.col("own")) * (F.col("t") - F.col("own"))).alias("own_ss"))
-    grid = counts.select("domain").distinct().crossJoin(F.broadcast(whole))  # domains x labels
-    return grid.join(less, ["domain", "class"], "left").select("domain", "class", (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"), (F.col("ss") - F.coalesce("own_ss", F.lit(0))).alias("ss"))
-
+def naive_bayes(cases: DataFrame) -> DataFrame:
+    """Multinomial, add one; the prior is a class's share of tokens; unseen tokens cost log(1 / denominator); a class without tokens has prior -1e12."""
+    return TextFit(cases).predict("naive_bayes").drop("method", "run")
 
-def vocabulary(counts: DataFrame) -> DataFrame:
-    """Per fold: distinct training features, those with more occurrences than the held-out domain has."""
-    total = counts.groupBy("feature").agg(F.sum("n").alias("t"))
-    own = counts.groupBy("domain", "feature").agg(F.sum("n").alias("own"))
-    only = own.join(total, "feature").groupBy("domain").agg(F.count_if(F.col("own") == F.col("t")).alias("only"))
-    return only.crossJoin(F.broadcast(total.agg(F.count("*").alias("all")))).select("domain", (F.col("all") - F.col("only")).alias("v"))
 
+def keyword(cases: DataFrame) -> DataFrame:
+    """Score of a class: its distinct training tokens over all training tokens, times 1 + its count of the case's tokens; without tokens the majority."""
+    return TextFit(cases).predict("keyword").drop("method", "run")
 
-def _with_classes(cases: DataFrame, sizes: DataFrame) -> DataFrame:
-    return cases.select(*KEY).join(F.broadcast(sizes), "domain")
 
-
-def naive_bayes(cases: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Multinomial, add one; the prior is a class's share of tokens; unseen tokens cost log(1 / denominator); a class without tokens has prior -1e12."""
-    counts = token_counts(cases) if counts is None else counts
-    sizes = class_sizes(counts).join(vocabulary(counts), "domain")
-    sizes = sizes.withColumn("all", F.sum("n").over(Window.partitionBy("domain")))
-    seen = counts.join(fold_features(counts), ["domain", "feature"]).where("n_class > 0")
-    hits = seen.groupBy("case_id", "domain", "class").agg(F.sum(F.col("n") * F.log(F.col("n_class") + 1)).alias("gain"))
-    size = counts.groupBy("case_id").agg(F.sum("n").alias("words"))
-    each = _with_classes(cases, sizes).join(size, "case_id", "left").join(hits, ["case_id", "domain", "class"], "left")
-    prior = F.when(F.col("n") > 0, F.log(F.col("n") / F.col("all"))).otherwise(-1e12)
-    score = prior + F.coalesce("gain", F.lit(0.0)) - F.coalesce("words", F.lit(0)) * F.log(F.col("n") + F.col("v"))
-    return best(each.withColumn("score", score))
-
-
-def keyword(cases: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Score of a class: its distinct training tokens over all training tokens, times 1 + its count of the case's tokens; without tokens the majority."""
-    counts = token_counts(cases) if counts is None else counts
-    total = counts.groupBy("feature", F.col("label").alias("class")).agg(F.sum("n").alias("t"))
-    own = counts.groupBy("domain", "feature", F.col("label").alias("class")).agg(F.sum("n").alias("own"))
-    gone = own.join(total, ["feature", "class"]).where("own = t").groupBy("domain", "class").agg(F.count("*").alias("gone"))
-    kinds = total.groupBy("class").agg(F.count("*").alias("kinds"))
-    sizes = class_sizes(counts).join(kinds, "class").join(gone, ["domain", "class"], "left").withColumn("all", F.sum("n").over(Window.partitionBy("domain")))
-    sizes = sizes.select("domain", "class", ((F.col("kinds") - F.coalesce("gone", F.lit(0))) / F.col("all")).alias("prior"))
-    hits = counts.join(fold_features(counts), ["domain", "feature"]).groupBy("case_id", "domain", "class").agg(F.sum(F.col("n") * F.col("n_class")).alias("hits"))
-    each = _with_classes(cases, sizes).join(hits, ["case_id", "domain", "class"], "left")
-    got = best(each.withColumn("score", F.col("prior") * (1 + F.coalesce("hits", F.lit(0)))))
-    empty = counts.select("case_id", F.lit(True).alias("has")).distinct()
-    other = majority(cases).select("case_id", F.col("predicted").alias("most"))
-    return got.join(empty, "case_id", "left").join(other, "case_id").select(*KEY, F.when(F.col("has"), F.col("predicted")).otherwise(F.col("most")).alias("predicted"))
+def grams(text: Column, low: int, high: int) -> Column:
+    """All character n-grams of a text with white space collapsed, of each length."""
+    flat = T.norm_chars(text)
+    return F.coalesce(F.flatten(F.array(*(T.char_ngrams(flat, n) for n in range(low, high + 1)))), F.array().cast("array<string>"))
 
 
 def char_profile(cases: DataFrame, n: int = 3) -> DataFrame:
     """Cosine of a case's character n-gram counts with the class profile; cases that match no class get the majority."""
-    counts = token_counts(cases, T.char_ngrams(T.norm_chars(F.col("text")), n))
-    dots = counts.join(fold_features(counts), ["domain", "feature"]).groupBy("case_id", "domain", "class").agg(F.sum(F.col("n") * F.col("n_class")).alias("dot"))
-    each = dots.where("dot > 0").join(F.broadcast(class_sizes(counts)), ["domain", "class"]).withColumn("score", F.col("dot") / F.sqrt("ss"))
-    got = best(each, key=("case_id",))
-    return majority(cases).withColumnRenamed("predicted", "most").join(got, "case_id", "left").select(*KEY, F.coalesce("predicted", "most").alias("predicted"))
-
-
-def shape_centroid(cases: DataFrame) -> DataFrame:
-    """Nearest class mean of nine shape statistics, standardised by training mean and population deviation (at least 1e-9)."""
-    shapes = T.shape9(F.col("text"))
-    items = F.array(*(F.struct(F.lit(k).alias("feature"), v.cast("double").alias("x")) for k, v in shapes.items()))
-    long = cases.where("text is not null").select(*KEY, F.explode(items).alias("e")).select(*KEY, "e.*")
-    sums = long.groupBy("domain", "label", "feature").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    grid = cases.select(F.col("domain").alias("fold")).distinct()
-    train = grid.join(sums, F.col("fold") != F.col("domain"))  # domains x (domain, label, feature) sums
-    mean = train.groupBy("fold", F.col("label").alias("class"), "feature").agg((F.sum("s") / F.sum("n")).alias("mean"))
-    scale = train.groupBy("fold", "feature").agg(F.greatest(F.lit(1e-9), F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)))).alias("sd"))
-    centres = mean.join(scale, ["fold", "feature"]).withColumnRenamed("fold", "domain")
-    each = long.join(F.broadcast(centres), ["domain", "feature"]).groupBy(*KEY, "class").agg((-F.sum(F.pow((F.col("x") - F.col("mean")) / F.col("sd"), 2))).alias("score"))
+    return TextFit(cases, grams(F.col("text"), n, n)).predict("char_profile").drop("method", "run")
+
+
+def nearest_centroid(cases: DataFrame, words: Column | None = None) -> DataFrame:
+    """Nearest class mean of feature counts (default: tokens): |x|^2 - 2 x.c + |c|^2 from the sparse counts."""
+    return TextFit(cases, words).predict("nearest_centroid").drop("method", "run")
+
+
+def dense_centroid(cases: DataFrame, items: dict[str, Column], standard: bool) -> DataFrame:
+    """Nearest class mean of a few statistics of the text, standardised by training mean and population deviation (at least 1e-9) if ``standard``. Cases without text are left out."""
+    array = F.array(*(F.struct(F.lit(k).alias("feature"), v.cast("double").alias("x")) for k, v in items.items()))
+    long = settled(cases.where("text is not null").select(*KEY, F.explode(array).alias("e")).select(*KEY, "e.*"), "statistics")
+    own = settled(long.groupBy("domain", "label", "feature").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")), "sums")
+    total = own.groupBy("label", "feature").agg(*(F.sum(c).alias(f"t_{c}") for c in ("n", "s", "ss")))
+    grid = own.select(F.col("domain").alias("fold")).distinct().crossJoin(F.broadcast(total))  # domains x labels x statistics
+    less = own.withColumnsRenamed({"domain": "fold"})
+    train = grid.join(less, ["fold", "label", "feature"], "left").select("fold", "label", "feature", *((F.col(f"t_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in ("n", "s", "ss"))).where("n > 0")
+    mean = train.select("fold", F.col("label").alias("class"), "feature", (F.col("s") / F.col("n")).alias("mean"))
+    sd = F.greatest(F.lit(1e-9), F.sqrt(F.greatest(F.lit(0.0), F.sum("ss") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)))) if standard else F.max(F.lit(1.0))
+    scale = train.groupBy("fold", "feature").agg(sd.alias("sd"))
+    centres = settled(mean.join(scale, ["fold", "feature"]).withColumnRenamed("fold", "domain"), "centres")
+    each = attach(long, centres, ["domain", "feature"]).groupBy(*KEY, "class").agg((-F.sum(F.pow((F.col("x") - F.col("mean")) / F.col("sd"), 2))).alias("score"))
     return best(each)
 
 
-def nearest_centroid(cases: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """Nearest class mean of token counts: |x|^2 - 2 x.c + |c|^2 from the sparse counts."""
-    counts = token_counts(cases) if counts is None else counts
-    docs = label_counts(cases).withColumnRenamed("label", "class").select("domain", "class", "n_train")
-    sizes = class_sizes(counts).join(docs, ["domain", "class"]).where("n_train > 0").select("domain", "class", "n_train", (F.col("ss") / F.col("n_train") / F.col("n_train")).alias("norm"))
-    dots = counts.join(fold_features(counts), ["domain", "feature"]).groupBy("case_id", "domain", "class").agg(F.sum(F.col("n") * F.col("n_class")).alias("dot"))
-    each = _with_classes(cases, sizes).join(dots, ["case_id", "domain", "class"], "left")
-    return best(each.withColumn("score", 2 * F.coalesce("dot", F.lit(0)) / F.col("n_train") - F.col("norm")))
+def shape_centroid(cases: DataFrame) -> DataFrame:
+    """Nearest class mean of nine shape statistics, standardised."""
+    return dense_centroid(cases, T.shape9(F.col("text")), True)
 
 
 def lexicon_argmax(cases: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
@@ -177,13 +251,24 @@ def fold_mean(metrics: DataFrame, by: tuple = ()) -> DataFrame:
     return metrics.groupBy(*by).agg(*(F.avg(c).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")))
 
 
+def ranked(rows: DataFrame, groups: list[str], key: Column, *ties: str, name: str = "rank") -> DataFrame:
+    """``rows`` with the place (from 1) of each in its groups by ``key`` (a hash as hex digits), from prefix sums over ranges of the key: no task sorts a whole group."""
+    cut = rows.withColumns({"_key": key}).withColumn("_range", F.substring("_key", 1, 3))
+    sizes = cut.groupBy(*groups, "_range").agg(F.count("*").alias("_size"))
+    w = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = settled(sizes.select(*groups, "_range", F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_base")), "ranges")  # at most 4096 for each group
+    placed = attach(cut, base, [*groups, "_range"])
+    own = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_key", *ties))
+    return placed.withColumn(name, F.col("_base") + own).drop("_key", "_range", "_base")
+
+
 def permuted_labels(cases: DataFrame, permutations: int, salt: str) -> DataFrame:
-    """``perm``, case_id, domain, text, label: labels dealt anew within each domain, by matching ranks of the ids with ranks of hashed ids."""
-    perms = cases.select("case_id", "domain", "label", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
-    key = F.md5(F.concat_ws(":", F.lit(salt), F.col("perm").cast("string"), F.col("case_id").cast("string")))
-    w = Window.partitionBy("perm", "domain")
-    ranked = perms.withColumns({"i": F.row_number().over(w.orderBy("case_id")), "j": F.row_number().over(w.orderBy(key))})
-    return ranked.select("perm", "domain", F.col("i").alias("k"), "label").join(ranked.select("perm", "domain", F.col("j").alias("k"), "case_id"), ["perm", "domain", "k"]).select("perm", "case_id", "domain", "label")
+    """``perm``, case_id, domain, label: labels dealt anew within each domain, by matching ranks of the ids' hashes with ranks of the hashes of permutation and id."""
+    case = F.col("case_id").cast("string")
+    own = ranked(cases.select("case_id", "domain", "label"), ["domain"], F.md5(F.concat_ws(":", F.lit(salt), case)), "case_id", name="k")
+    perms = own.select("case_id", "domain", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm"))
+    dealt = ranked(perms, ["perm", "domain"], F.md5(F.concat_ws(":", F.lit(salt), F.col("perm").cast("string"), case)), "case_id", name="k")
+    return dealt.join(own.select("domain", "k", "label"), ["domain", "k"]).select("perm", "case_id", "domain", "label")
 
 
 def kfold_random(cases: DataFrame, folds: int, salt: str) -> DataFrame:
@@ -198,19 +283,31 @@ def kfold_random(cases: DataFrame, folds: int, salt: str) -> DataFrame:
 
 
 def quantiles_nearest(df: DataFrame, group: str, value: str) -> DataFrame:
-    """count, min, max and the sorted values at n div 4, n div 2 and 3 n div 4 (from 0) of each group."""
+    """count, min, max and the sorted values at n div 4, n div 2 and 3 n div 4 (from 0) of each group, from counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("x")).agg(F.count("*").alias("c"))
     w = Window.partitionBy(group)
-    x = df.where(F.col(value).isNotNull()).select(group, F.col(value).alias("x"), (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda k: F.max(F.when(F.col("i") == F.floor(k * F.col("n") / 4), F.col("x")))
-    return x.groupBy(group).agg(F.count("*").alias("n"), F.min("x").alias("min"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("x").alias("max"))
-
-
-def shortcut_decision(metrics: DataFrame, threshold: float, margin: float, baseline: str = "majority") -> DataFrame:
-    """Of the shallow methods (column method) the best by macro F1, and if it is a risk: at least ``threshold``, and ``margin`` above the majority."""
-    base = metrics.where(F.col("method") == baseline).agg(F.max("macro_f1").alias("base"))
-    top = metrics.where(F.col("method") != baseline).agg(F.min_by("method", F.struct(-F.round("macro_f1", DIGITS), F.col("method"))).alias("method"), F.max("macro_f1").alias("macro_f1"))
-    both = top.crossJoin(F.broadcast(base))
-    return both.select("method", "macro_f1", (F.col("macro_f1") - F.col("base")).alias("margin")).withColumn("risk", (F.col("macro_f1") >= threshold) & (F.col("margin") >= margin))
+    x = counts.select(group, "x", F.sum("c").over(w.orderBy("x")).alias("to"), F.sum("c").over(w).alias("n"))
+    at = lambda k: F.min(F.when(F.col("to") > F.floor(k * F.col("n") / 4), F.col("x")))
+    return x.groupBy(group).agg(F.max("n").alias("n"), F.min("x").alias("min"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3"), F.max("x").alias("max"))
+
+
+def shortcut_decision(metrics: DataFrame, threshold: float, margin: float, baseline: str = "majority", by: tuple = ()) -> DataFrame:
+    """By view (``by``), of the shallow methods (column method) the best by macro F1, and if it is a risk: at least ``threshold``, and ``margin`` above the majority."""
+    other = F.col("method") != baseline
+    top = F.min_by("method", F.when(other, F.struct(-F.round("macro_f1", DIGITS), F.col("method"))))
+    got = metrics.groupBy(*by).agg(top.alias("method"), F.max(F.when(other, F.col("macro_f1"))).alias("macro_f1"), F.max(F.when(~other, F.col("macro_f1"))).alias("base"))
+    return got.select(*by, "method", "macro_f1", (F.col("macro_f1") - F.col("base")).alias("margin")).withColumn("risk", (F.col("macro_f1") >= threshold) & (F.col("margin") >= margin))
+
+
+def lookup_status(cases: DataFrame, field: str, least: int) -> DataFrame:
+    """Per fold, if a lookup of the field can be evaluated: no blank values, at least two values, each with ``least`` rows, and none that the fold's training rows lack; else the first reason that holds."""
+    own = cases.groupBy("domain", field).agg(F.count("*").alias("own"))
+    total = own.groupBy(field).agg(F.sum("own").alias("t"))
+    value = F.trim(F.col(field).cast("string"))
+    whole = total.agg(F.bool_or(F.col(field).isNull() | (value == "")).alias("blank"), F.count("*").alias("kinds"), F.min("t").alias("fewest"))
+    unseen = own.join(total, field).groupBy("domain").agg(F.bool_or(F.col("own") == F.col("t")).alias("unseen"))
+    reason = F.when(F.col("blank"), "blank_value").when(F.col("kinds") < 2, "one_value").when(F.col("fewest") < least, "thin_value").when(F.coalesce("unseen", F.lit(False)), "unseen_value").otherwise("evaluable")
+    return cases.select("domain").distinct().join(unseen, "domain", "left").crossJoin(F.broadcast(whole)).select("domain", reason.alias("status"))  # one row of totals
 
 
 def support_check(cases: DataFrame, train: int, test: int) -> DataFrame:

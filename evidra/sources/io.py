@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +32,23 @@ def scan_multi(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 def sink_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Writes a table once: an existing one is an error, and a failed write leaves nothing that reads as done."""
     df.write.mode("errorifexists").format(kind).save(path)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the folder that all executors share (``spark.checkpoint.dir``): what a job needs more than once is computed once, and lineage ends here."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="evidra-")
+        spark.sparkContext.setCheckpointDir(shared)
+        shared = spark.sparkContext.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def attach(rows: DataFrame, facts: DataFrame, on: list[str], most: int = 500_000) -> DataFrame:
+    """``rows`` joined with a settled table of one row for each key: broadcast if it has at most ``most`` rows, else both are shuffled and AQE splits skewed keys."""
+    return rows.join(F.broadcast(facts) if facts.limit(most + 1).count() <= most else facts, on)
