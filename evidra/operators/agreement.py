@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,20 +97,44 @@ def mean_abs_diff(rows: DataFrame, group: str, value: str) -> DataFrame:
     return per.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).cast("long").alias("pairs"), F.sum("d").alias("d")).select("pairs", (F.col("d") / F.expr("nullif(pairs, 0)")).alias("mean_abs_diff"))
 
 
-def bootstrap_agreement(counts: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Percentile interval (2.5, 97.5, linear) of pairwise agreement over resampled units.
+def bootstrap_agreement(rows: DataFrame, unit: str, label: str, replicates: int, seed: int, most: int = 1_000_000) -> DataFrame:
+    """measure (agreement, alpha), low, high: percentile intervals (2.5, 97.5, linear) of pairwise agreement and nominal alpha over units resampled with replacement.
 
-    Units are grouped by equal counts first, and each group's resampled number is a sum of draws that is approximated by a seeded normal of the
-    group's size, so the work is groups times replicates, whatever the number of units.
+    Units with equal label counts are one group, at most ``most`` of them, whatever the number of units. A replicate draws the groups' numbers from the multinomial distribution that resampling the units one by one
+    has, seeded by its number; replicates are spread over the tasks. Units of one rating are left out; without units there is no row.
     """
-    groups = counts.where("m >= 2").groupBy("matches", "pairs").count()
-    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
-    draws = groups.select("matches", "pairs", "count", rep)
-    uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "rep", "matches", "pairs"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * 3.141592653589793 * uniform(2))
-    number = F.greatest(F.lit(0.0), F.round(F.col("count") + F.sqrt("count") * normal))
-    each = draws.groupBy("rep").agg((F.sum(number * F.col("matches")) / F.sum(number * F.col("pairs"))).alias("agreement"))
-    return each.agg(F.percentile("agreement", 0.025).alias("low"), F.percentile("agreement", 0.975).alias("high"))
+    spark = rows.sparkSession
+    each = rows.where(F.col(label).isNotNull()).groupBy(unit, F.col(label).cast("string").alias("label")).count()
+    units = each.groupBy(unit).agg(F.sum("count").alias("m"), F.sort_array(F.collect_list(F.struct("label", "count"))).alias("h")).where("m >= 2")  # a unit's own labels
+    groups = units.groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(most + 1).collect()
+    if len(groups) > most:
+        raise ValueError(f"more than {most} kinds of units")
+    labels = sorted({x["label"] for g in groups for x in g["h"]})
+    place = {x: i for i, x in enumerate(labels)}
+    hist = np.zeros((len(groups), len(labels)))
+    for i, g in enumerate(groups):
+        for x in g["h"]:
+            hist[i, place[x["label"]]] = x["count"]
+    n = np.array([g["n"] for g in groups], np.int64)
+    sent = spark.sparkContext.broadcast((hist, n))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hist, n = sent.value
+        m, square = hist.sum(1), (hist**2).sum(1)
+        for b in batches:
+            out = []
+            for rep in b["id"]:
+                k = np.random.default_rng([seed, int(rep)]).multinomial(n.sum(), n / n.sum())
+                total, ratings = k @ hist, float(k @ m)
+                observed = float(k @ ((m * m - square) / (m - 1))) / ratings
+                expected = (ratings**2 - float(total @ total)) / (ratings * (ratings - 1))
+                alpha = (1.0 if observed == 0 else 0.0) if expected == 0 else 1 - observed / expected
+                out.append((float(k @ (square - m)) / float(k @ (m * m - m)), alpha))
+            yield pd.DataFrame(out, columns=["agreement", "alpha"])
+
+    reps = spark.range(replicates if len(groups) else 0).mapInPandas(draw, "agreement double, alpha double")
+    long = reps.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("x")) for c in ("agreement", "alpha")))).alias("e")).select("e.*")
+    return long.groupBy("measure").agg(F.percentile("x", 0.025).alias("low"), F.percentile("x", 0.975).alias("high"))
 
 
 def freeze_decision(summary: DataFrame, agreement: float, alpha: float, abstention: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,10 @@ def exact_duplicates(df: DataFrame, key: str, split: str, signature: Column) ->
 
 
 def forbidden_terms(df: DataFrame, key: str, text: str, terms: list[str], whole_words: bool) -> DataFrame:
-    """One row for each text and term that it holds: as a substring, or between word boundaries. The list of terms is part of the plan."""
+    """One row for each text and term that it holds: as a substring, or between word boundaries (terms are literal, never patterns). The list of terms is part of the plan."""
     low = F.lower(F.col(text))
-    hit = lambda t: low.rlike(f"(?<![a-z0-9]){t}(?![a-z0-9])") if whole_words else low.contains(t)
+    literal = lambda t: re.sub(r"([^a-z0-9\s])", r"\\\1", t)
+    hit = lambda t: low.rlike(f"(?<![a-z0-9]){literal(t)}(?![a-z0-9])") if whole_words else low.contains(t)
     found = F.array_compact(F.array(*(F.when(hit(t.lower()), F.lit(t.lower())) for t in terms)))
     return issues(df.select(key, F.explode(found).alias("term")), "forbidden_terms", "forbidden_term", text, F.col(key), detail=F.col("term"))
 
@@ -88,7 +91,8 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def cell_minima(df: DataFrame, rows: str, columns: str, least: int) -> DataFrame:
     """Counts of all cells of two fields, zeros included, and if each reaches the least number."""
-    grid = df.select(rows).distinct().crossJoin(df.select(columns).distinct())  # of two category lists
+    other = df.select(columns).distinct()
+    grid = df.select(rows).distinct().crossJoin(F.broadcast(other) if other.limit(100_001).count() <= 100_000 else other)  # of two category lists: the cells asked for
     got = df.groupBy(rows, columns).agg(F.count("*").alias("n"))
     return grid.join(got, [rows, columns], "left").select(rows, columns, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) >= least).alias("ok"))
 
@@ -182,8 +186,9 @@ def remap_labels(df: DataFrame, column: str, old: str, new: str, key: str) -> Da
     """Values with prefix ``old`` get ``new``: key, before, after, code unexpected (another prefix) or collision (the new value isn't unique), else null."""
     v = F.col(column)
     after = F.when(v.startswith(old), F.concat(F.lit(new), v.substr(F.lit(len(old) + 1), F.length(v))))
-    rows = df.select(key, v.alias("before"), after.alias("after")).withColumn("kinds", F.size(F.collect_set("before").over(Window.partitionBy("after"))))
-    return rows.select(key, "before", "after", F.when(F.col("after").isNull(), "unexpected").when(F.col("kinds") > 1, "collision").alias("code"))
+    rows = df.select(key, v.alias("before"), after.alias("after"))
+    clash = rows.where("after is not null").select("after", "before").distinct().groupBy("after").count().where("count > 1").select("after", F.lit(True).alias("clash"))
+    return rows.join(clash, "after", "left").select(key, "before", "after", F.when(F.col("after").isNull(), "unexpected").when(F.col("clash"), "collision").alias("code"))
 
 
 def readiness(gates: list[tuple[str, DataFrame]]) -> DataFrame:

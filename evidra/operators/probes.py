@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.issues import issues, union
+from evidra.sources.io import attach, settled
 
 
 def doubles(vector: Column) -> Column:
@@ -101,18 +102,23 @@ def solve_ridge(by_label: dict[str, np.ndarray], dim: int, alpha: float) -> tupl
 
 def ridge_lodo(df: DataFrame, moments: DataFrame, key: str, domain: str, label: str, vector: str, dim: int, alpha: float) -> DataFrame:
     """Predictions of each domain's rows by a ridge probe fitted on the others: moments are totals less the domain's, one small solve for each domain."""
+    moments = settled(moments, "moments")
+    total = moments.select("label", F.posexplode("m").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("t"))
     domains = moments.select(F.col("domain").alias("fold")).distinct()
-    grid = domains.join(moments, F.col("fold") != F.col("domain")).select("fold", "label", "m")
+    grid = domains.crossJoin(total).join(moments.withColumnRenamed("domain", "fold"), ["fold", "label"], "left")  # domains x labels
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = {k: np.sum([np.asarray(x) for x in own], axis=0) for k, own in pdf.groupby("label")["m"]}
+        left = {k: np.asarray(t) - (0 if m is None else np.asarray(m)) for k, t, m in zip(pdf["label"], pdf["t"], pdf["m"], strict=True)}
+        sums = {k: x for k, x in left.items() if round(x[0]) > 0}
+        if not sums:
+            return pd.DataFrame({"fold": [], "class": [], "w": [], "b": []})
         labels, w, b = solve_ridge(sums, dim, alpha)
         return pd.DataFrame({"fold": pdf["fold"].iloc[0], "class": labels, "w": list(w), "b": b})
 
     weights = grid.groupBy("fold").applyInPandas(fit, "fold string, class string, w array<double>, b double")
     rows = df.where(F.size(vector) == dim).select(key, F.col(domain).cast("string").alias("fold"), F.col(label).cast("string").alias("label"), doubles(F.col(vector)).alias("x"))
     dot = F.aggregate(F.zip_with("x", "w", lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    each = rows.join(F.broadcast(weights), "fold").select(key, "fold", "label", "class", (dot + F.col("b")).alias("score"))  # labels x domains weight rows
+    each = attach(rows, settled(weights, "weights"), ["fold"], 20_000).select(key, "fold", "label", "class", (dot + F.col("b")).alias("score"))  # labels x domains weight rows
     return each.groupBy(key, "fold", "label").agg(F.min_by("class", F.struct(-F.round("score", 9), F.col("class"))).alias("predicted"))
 
 
@@ -135,8 +141,15 @@ def family_success(df: DataFrame, family: str, positive: Column, score: str) ->
     return got.select(family, F.when((F.col("p") == 1) & (F.col("n") == 2), F.col("hi") > F.col("lo")).alias("success"), (F.col("hi") - F.col("lo")).alias("difference"))
 
 
-def average_rank(df: DataFrame, column: str) -> Column:
-    return F.rank().over(Window.orderBy(column)) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2
+def with_average_rank(df: DataFrame, column: str, name: str, ranges: int = 256) -> DataFrame:
+    """``df`` with the rank of a number among all rows, ties by their mean rank (null: null), from counts of value ranges and ranks within each range."""
+    cuts = sorted(set(df.approxQuantile(column, [i / ranges for i in range(1, ranges)], 0.002))) if ranges > 1 else []
+    x = F.col(column)
+    cut = df.withColumn("_range", F.when(x.isNotNull(), F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= x))))
+    sizes = cut.where(x.isNotNull()).groupBy("_range").agg(F.count("*").alias("_n"))
+    base = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # at most ``ranges`` rows
+    rank = F.col("_base") + F.rank().over(Window.partitionBy("_range").orderBy(column)) + (F.count("*").over(Window.partitionBy("_range", column)) - 1) / 2
+    return cut.join(F.broadcast(base), "_range", "left").withColumn(name, F.when(x.isNotNull(), rank)).drop("_range", "_base")
 
 
 def contrast_direction(df: DataFrame, group: str, vector: str, target: Column, dim: int) -> DataFrame:

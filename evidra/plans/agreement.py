@@ -37,7 +37,7 @@ def d3_alpha_ordinal(spark, sf_dir):
 
 
 def d4_bootstrap_ci(spark, sf_dir):
-    return A.bootstrap_agreement(A.unit_counts(ratings(spark, sf_dir), "unit", "label"), 2000, 1729)
+    return A.bootstrap_agreement(ratings(spark, sf_dir), "unit", "label", 2000, 1729)
 
 
 def d5_abstention_rate(spark, sf_dir):

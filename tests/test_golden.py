@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,30 @@ def test_constant_labels_and_empty_tables(spark):
     empty = spark.createDataFrame([], "case_id long, domain string, label string, text string")
     assert B.naive_bayes(empty).count() == 0 and B.folds(empty).count() == 0
     assert A.consensus(spark.createDataFrame([], "unit long, label string"), "unit", "label", "x").count() == 0
+
+
+def test_targets_of_few_words_and_parts_of_words_are_found(spark):
+    texts = spark.createDataFrame([(1, "all of the internationalisation standardisation work"), (2, "a xinternationalisation standardisationy z"), (3, "one prefixalpha beta gamma delta epsilonsuffix two"), (4, "unrelated words only")], "doc_id long, text string")
+    targets = spark.createDataFrame([(10, "Internationalisation, standardisation!"), (11, "alpha beta gamma delta epsilon"), (12, "too short"), (13, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in S.containment_join(texts, "doc_id", "text", targets, "item_id", "text").collect()}
+    assert got == {(1, 10), (2, 10), (3, 11)}
+
+
+def test_terms_are_literal(spark):
+    rows = spark.createDataFrame([(1, "axb and c"), (2, "a.b and c++ ( x"), (3, None)], "doc_id long, text string")
+    got = {(r["entity_id"], r["detail"]) for r in audit.forbidden_terms(rows, "doc_id", "text", ["a.b", "c++", "("], True).collect()}
+    assert got == {("2", "a.b"), ("2", "c++"), ("2", "(")}
+
+
+def test_bootstrap_intervals_as_resampling_unit_by_unit(spark):
+    rng = np.random.default_rng(1)
+    labels = [[rng.choice(["a", "b"]) if rng.random() < 0.4 else "a" for _ in range(3)] for _ in range(60)]
+    rows = spark.createDataFrame([(u, r, x) for u, own in enumerate(labels) for r, x in enumerate(own)], "unit long, rater long, label string")
+    got = {r["measure"]: (r["low"], r["high"]) for r in A.bootstrap_agreement(rows, "unit", "label", 2000, 3).collect()}
+    a = np.array([[own.count("a"), own.count("b")] for own in labels], float)
+    out = []
+    for _ in range(2000):
+        h = a[rng.integers(0, 60, 60)]
+        out.append(((h * h).sum() - h.sum()) / (6 * 60))
+    assert got["agreement"] == pytest.approx(np.percentile(out, [2.5, 97.5]), abs=0.03)
+    assert got["alpha"][0] < got["alpha"][1] < 1
