@@ -95,6 +95,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; the largest number is divided out first, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(1, keepdims=True, initial=1e-323)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
