@@ -277,7 +277,7 @@ def normalise(text: str) -> str:
     return MARK + text.replace(" ", MARK) if text else ""
 
 
-def encode_texts(p: Pieces, texts: list[str], most: int = 300_000) -> list[tuple[bytes, float]]:
+def encode_texts(p: Pieces, texts: list[str], most: int = 120_000) -> list[tuple[bytes, float]]:
     """Little-endian unsigned 32-bit ids and score of each text."""
     units = [_UNIT.findall(normalise(t)) for t in texts]
     distinct = set().union(*units)
