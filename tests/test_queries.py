@@ -8,11 +8,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from evidra.plans import agreement, audit, baselines, controls, experiments, selection, vectors
+from evidra.plans import agreement, audit, baselines, contracts, controls, experiments, selection, vectors
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (baselines, agreement, audit, experiments, vectors, controls, selection)
+PLANS = (baselines, agreement, audit, experiments, vectors, controls, selection, contracts)
 QUERIES = {k: f for p in PLANS for k, f in p.QUERIES.items()}
 SQL = {k: q for p in PLANS for k, q in p.ORACLE_SQL.items()}
 
