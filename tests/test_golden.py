@@ -137,3 +137,21 @@ def test_bootstrap_intervals_as_resampling_unit_by_unit(spark):
         out.append(((h * h).sum() - h.sum()) / (6 * 60))
     assert got["agreement"] == pytest.approx(np.percentile(out, [2.5, 97.5]), abs=0.03)
     assert got["alpha"][0] < got["alpha"][1] < 1
+
+
+def test_pair_fields_against_plain_sets(spark):
+    texts = [(1, "the red fox ran home", "alpha beta", "x"), (2, "the red fox ran away", "gamma delta", "x"), (3, "", "", "")]
+    frame = spark.createDataFrame(texts, "doc_id long, one string, two string, three string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (1, 3), (1, 9)], "a long, b long")
+
+    def sets(t):
+        w, c = t.split(), t.replace(" ", "")
+        grams = lambda x, n: {tuple(x[i : i + n]) for i in range(len(x) - n + 1)}
+        return [grams(w, 1), grams(w, 2), grams(c, 3) if len(c) >= 3 else {tuple(c)} if c else set()]
+
+    share = lambda x, y: sum(len(p & q) / len(p | q) if p | q else 0.0 for p, q in zip(sets(x), sets(y), strict=True)) / 3
+    got = {(r["a"], r["b"]): r for r in S.pair_fields(pairs, frame, "doc_id", ["one", "two", "three"], [1, 2], [3], 0.6).collect()}
+    assert set(got) == {(1, 2), (1, 3)}
+    for (a, b), r in got.items():
+        want = [share(texts[a - 1][k], texts[b - 1][k]) for k in (1, 2, 3)]
+        assert [r["s_one"], r["s_two"], r["s_three"]] == pytest.approx(want) and r["flag"] == (sum(x < 0.6 for x in want) >= 2)
