@@ -6,9 +6,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evidra.llm.ann_search import nearest
 from evidra.llm.common import table
 from evidra.llm.embed_dedup import near_vectors
+from evidra.llm.importance import resample
 from evidra.llm.jaccard_join import near_documents
 from evidra.llm.lm_score import score_texts
 from evidra.llm.mixing import mix_sources
@@ -18,6 +21,7 @@ from evidra.llm.sentence_pieces import encode_documents
 from evidra.llm.token_counts import count_tokens
 from evidra.llm.token_files import token_files
 from evidra.llm.url_filter import ALLOW, BLOCK, filter_urls
+from evidra.llm.whitening import whiten
 
 #: Fixed rules of the url query.
 URL_RULES = [("net/", BLOCK), ("example.net/en/", ALLOW), ("example.com/de/", BLOCK), ("org/fr/", ALLOW)]
@@ -69,6 +73,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = whiten(table(spark, sf_dir, "embeddings"))
+    return got.withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_sentence_pieces": op2_sentence_pieces,
@@ -80,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
