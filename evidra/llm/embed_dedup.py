@@ -2,15 +2,17 @@
 
 Each tree splits the unit vectors at random hyperplanes, again and again; vectors near a hyperplane go to both sides. All pairs within
 a leaf are compared in double precision, so no pair below the threshold is linked. A hyperplane must not part a group of near copies that is a large share of its
-node: where none is found the node stays a leaf. Trees are fitted on a bounded
-sample of vectors (``sample``, in the order of a hash) and index every vector. A pair is counted in the first leaf that it shares, and each
+node: such a group is a ball around its mean, and goes whole to the side on which that lies, while the rest of the node is parted as ever; a node that is little but one group is a leaf. Trees are fitted on a bounded
+sample of vectors (``sample``, in the order of a hash) and index every vector; where a leaf's share of the table is too large and its sample used up, hyperplanes through its mean, which need no sample, part it further. A pair is counted in the first leaf that it shares, and each
 leaf gives links as counts and stars, so that groups of thousands of copies never become pair rows. Leaves of more
 than ``block`` vectors are compared block by block in separate tasks.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +21,51 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import written
 from evidra.llm.components import connected_components
+from evidra.llm.vectors import good_vector, matrix, sample_by_length
 
-#: Leaves of one tree are numbered from tree * TREE.
-TREE = 1 << 24
-#: A vector is in a hot group if it links with this share of its node (judged on so many vectors); a hyperplane may part this share of the links in such groups.
-HOT, LOOK, LOST = 0.05, 2000, 0.02
+#: Leaves of one tree are numbered from tree * TREE, times SUB for the sides of up to 20 further hyperplanes.
+TREE, SUB = 1 << 24, 1 << 20
+#: A vector is in a hot group if it links with this share of its node (judged on so many vectors); a side may have this share of its node.
+HOT, LOOK, MOST = 0.05, 2000, 0.8
+
+
+@functools.lru_cache(1 << 14)
+def _direction(leaf: int, level: int, dim: int) -> np.ndarray:
+    d = np.random.default_rng((leaf, level)).standard_normal(dim)
+    return d / np.linalg.norm(d)
+
+
+@dataclass
+class Node:
+    """A hyperplane and its sides; hot groups, as their centres and least cosines with them, count by the centre's place."""
+
+    direction: np.ndarray
+    cut: float
+    centres: np.ndarray
+    least: np.ndarray
+    left: Node | Leaf | None = None
+    right: Node | Leaf | None = None
+
+    def sides(self, x: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+        """Which vectors go left, and which right."""
+        at, near = x @ self.direction, np.full(len(x), spill)
+        if len(self.centres):
+            close = x @ self.centres.T - self.least
+            group = close.argmax(1)
+            own = close[np.arange(len(x)), group] >= 0
+            at[own], near[own] = (self.centres @ self.direction)[group[own]], 0.0
+        return at <= self.cut + near, at > self.cut - near
+
+
+@dataclass
+class Leaf:
+    number: int
+    mean: np.ndarray
+    levels: int
 
 
 class Forest:
-    """Trees as nested tuples (direction, threshold, left, right) or a leaf's number."""
+    """Trees of nodes and leaves."""
 
     def __init__(self, sample: np.ndarray, n: int, trees: int, leaf: int, spill: float, seed: int, threshold: float) -> None:
         self.spill, self.threshold, self.trees = spill, threshold, []
@@ -37,61 +75,75 @@ class Forest:
             self.next = t * TREE
             self.trees.append(self._grow(sample, scale, leaf, rng))
 
-    def _hot(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors that link with at least ``HOT`` of a node's (of at most ``LOOK`` of them), and the links among these."""
+    def _groups(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hot groups of a node (judged on at most ``LOOK`` of its vectors): their mean directions, and the least cosine of a member with it."""
         some = x[:: -(-len(x) // LOOK)]
         linked = some @ some.T >= self.threshold
-        np.fill_diagonal(linked, False)
-        hot = linked.sum(1) >= max(2, HOT * len(some))
-        return some[hot], linked[np.ix_(hot, hot)].astype(np.float32)
-
-    def _grow(self, x: np.ndarray, scale: float, leaf: int, rng: np.random.Generator):
+        least = max(3, HOT * len(some))
+        hot = linked.sum(1) >= least
+        some, linked = some[hot], linked[np.ix_(hot, hot)]
+        centres, edges, free = [], [], np.ones(len(some), bool)
+        while free.any():
+            degree = (linked & free).sum(1) * free
+            members = linked[degree.argmax()] & free
+            if members.sum() < least / 2:
+                break
+            centre = some[members].sum(0)
+            centre /= np.linalg.norm(centre)
+            cosine = some @ centre
+            edge = cosine[members].min() - 0.01
+            centres.append(centre)
+            edges.append(edge)
+            free &= ~(members | (cosine >= edge))
+        return np.array(centres).reshape(-1, x.shape[1]), np.array(edges)
+
+    def _grow(self, x: np.ndarray, scale: float, leaf: int, rng: np.random.Generator) -> Node | Leaf:
         if len(x) * scale > leaf and len(x) >= 8:
-            hot, linked = self._hot(x)
-            links = linked.sum()
-            for _ in range(12 if links else 4):
+            centres, edges = self._groups(x)
+            for _ in range(8):
                 direction = rng.standard_normal(x.shape[1])
                 direction /= np.linalg.norm(direction)
+                node = Node(direction, 0.0, centres, edges)
                 at = x @ direction
-                cuts = np.quantile(at, rng.uniform(0.4, 0.6, 1) if not links else rng.uniform(0.25, 0.75, 8))
-                if links:
-                    own = hot @ direction
-                    lost = [2 * (own <= c - self.spill).astype(np.float32) @ linked @ (own > c + self.spill).astype(np.float32) for c in cuts]
-                    if min(lost) > LOST * links:
-                        continue
-                    cuts = cuts[np.argsort(lost)[:1]]
-                cut = float(cuts[0])
-                left, right = at <= cut + self.spill, at > cut - self.spill
-                # a group too dense for this hyperplane stays together
-                if max(left.sum(), right.sum()) <= 0.8 * len(x):
-                    return direction, cut, self._grow(x[left], scale, leaf, rng), self._grow(x[right], scale, leaf, rng)
+                if len(centres):
+                    close = x @ centres.T - edges
+                    own = close.max(1) >= 0
+                    at[own] = (centres @ direction)[close.argmax(1)[own]]
+                low, high = np.quantile(at, rng.uniform(0.4, 0.6), method="lower"), at.max()
+                above = at[at > low]  # between two places, so that no group lies on the hyperplane
+                node.cut = float(low + above.min()) / 2 if len(above) else float(high)
+                left, right = node.sides(x, self.spill)
+                if max(left.sum(), right.sum()) <= MOST * len(x):
+                    node.left, node.right = self._grow(x[left], scale, leaf, rng), self._grow(x[right], scale, leaf, rng)
+                    return node
+        levels = int(np.ceil(np.log2(max(1.0, len(x) * scale / leaf)))) if len(x) < 8 else 0
         self.next += 1
-        return self.next - 1
+        return Leaf(self.next - 1, x.mean(0) if len(x) else np.zeros(x.shape[1]), min(20, levels))
 
     def leaves(self, x: np.ndarray) -> list[list[int]]:
         """Numbers of the leaves of each unit vector, ascending."""
         out: list[list[int]] = [[] for _ in range(len(x))]
 
-        def route(node, rows: np.ndarray) -> None:
-            if not len(rows):
-                return
-            if isinstance(node, int):
+        def deeper(leaf: Leaf, level: int, sides: int, rows: np.ndarray) -> None:
+            if level == leaf.levels:
                 for i in rows:
-                    out[i].append(node)
-                return
-            direction, cut, left, right = node
-            at = x[rows] @ direction
-            route(left, rows[at <= cut + self.spill])
-            route(right, rows[at > cut - self.spill])
+                    out[i].append(leaf.number * SUB + sides)
+            elif len(rows):
+                at = (x[rows] - leaf.mean) @ _direction(leaf.number, level, x.shape[1])
+                deeper(leaf, level + 1, sides, rows[at <= self.spill])
+                deeper(leaf, level + 1, sides | 1 << level, rows[at > -self.spill])
+
+        def route(node: Node | Leaf, rows: np.ndarray) -> None:
+            if isinstance(node, Leaf):
+                deeper(node, 0, 0, rows)
+            elif len(rows):
+                left, right = node.sides(x[rows], self.spill)
+                route(node.left, rows[left])
+                route(node.right, rows[right])
 
         for tree in self.trees:
             route(tree, np.arange(len(x)))
-        return out
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        return [sorted(o) for o in out]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -144,15 +196,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = 6, lea
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = F.coalesce(F.col("vec_id").isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+    good = F.col("vec_id").isNotNull() & good_vector(v)
     rows = vectors.select("vec_id", v.alias("embedding"), F.when(good, F.xxhash64(F.size(v), v)).alias("key"))
     kind = vectors.schema["embedding"].dataType.simpleString()
     own = written(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("embedding").alias("embedding")).withColumn("dim", F.size("embedding")), "vectors")
-    forests = {}
-    for r in own.groupBy("dim").count().collect():
-        some = own.where(F.col("dim") == r["dim"]).select("embedding").orderBy(F.xxhash64("key")).limit(sample).toArrow()
-        forests[r["dim"]] = Forest(_unit(_matrix(some["embedding"])), r["count"], trees, leaf, spill, seed + r["dim"], threshold)
+    forests = {d: Forest(_unit(x), n, trees, leaf, spill, seed + d, threshold) for d, (n, x) in sample_by_length(own, sample, seed).items()}
     sent = spark.sparkContext.broadcast(forests)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +209,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = 6, lea
             dims = b.column("dim").to_numpy()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                for i, own_leaves in zip(at, sent.value[int(d)].leaves(_unit(_matrix(b.column("embedding").take(pa.array(at))))), strict=True):
+                for i, own_leaves in zip(at, sent.value[int(d)].leaves(_unit(matrix(b.column("embedding").take(pa.array(at))))), strict=True):
                     leaves[i] = own_leaves
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "dim", "copies", "embedding")), pa.array(leaves, pa.list_(pa.int32()))], ["key", "dim", "copies", "embedding", "leaves"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "dim", "copies", "embedding")), pa.array(leaves, pa.list_(pa.int64()))], ["key", "dim", "copies", "embedding", "leaves"])
 
-    placed = written(own.select("key", "dim", "copies", "embedding").mapInArrow(assign, f"key long, dim int, copies long, embedding {kind}, leaves array<int>"), "leaves")
+    placed = written(own.select("key", "dim", "copies", "embedding").mapInArrow(assign, f"key long, dim int, copies long, embedding {kind}, leaves array<long>"), "leaves")
     each = placed.withColumn("leaf", F.explode("leaves"))
     # Leaves above the block size: at most (rows / block) of them.
     large = placed.select("dim", F.explode("leaves").alias("leaf")).groupBy("dim", "leaf").count().where(F.col("count") > block).select("dim", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -176,7 +224,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, trees: int = 6, lea
 
     def compare(group: tuple, data: pa.Table) -> pa.Table:
         leaves = data["leaves"].to_pylist()
-        got = compare_leaf(group[1].as_py(), data["key"].to_numpy(), _unit(_matrix(data["embedding"])), data["copies"].to_numpy(), leaves, data["mine"].to_numpy(), threshold)
+        got = compare_leaf(group[1].as_py(), data["key"].to_numpy(), _unit(matrix(data["embedding"])), data["copies"].to_numpy(), leaves, data["mine"].to_numpy(), threshold)
         return pa.table([pa.array(x) for x in got], ["key", "links", "root"])
 
     found = written(each.select("dim", "leaf", "i", "j", "mine", "key", "copies", "embedding", "leaves").groupBy("dim", "leaf", "i", "j").applyInArrow(compare, "key long, links long, root long"), "links")

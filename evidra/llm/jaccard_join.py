@@ -4,10 +4,10 @@ Jaccard distance is a metric, but unrelated texts all lie at distance 1 from any
 every text in one region. Regions are therefore local: each text owns the shingles that come first in a common order
 (rare before frequent, then by hash), one more than a quarter of them, and two texts within the radius own one in common. The owners of a shingle are a region.
 
-* A region of a few texts is joined outright: pairs whose sizes and places of the common shingle allow the radius.
-* A larger region has a first pivot, the text that is in most regions; regions with one first pivot become one. Each text's distance to it is bounded from
+* Each region has a first pivot, the text of it that is in most regions; regions with one first pivot become one cell. Each text's distance to it is bounded from
   below by the distance of their bucket counts (a projection that shortens no distance), which settles most, and else computed. If all texts are connected with
-  the pivot the region is done; of the others, and of those that one of the others may reach by the triangle inequality, the region is joined again.
+  the pivot the cell is done. Else it leaves those that aren't, and those that one of these may reach by the triangle inequality.
+* What a cell leaves of a region is a few texts as a rule: pairs of them whose windows of distances to the pivot, sizes and places of the common shingle allow the radius are compared. Of more than that, the regions are joined again.
 * Then pivots that lie far apart (above three radii) make Voronoi cells: each text goes to its nearest pivot p, at distance d, and is replicated to later pivots within
   the window d + 2 radii, so that any two texts within the radius meet in a cell. All distances are exact.
 * In a cell a text x stands as its difference from the pivot, the shingles that only one of the two has. Differences of two texts differ in just the shingles in which the
@@ -39,7 +39,7 @@ from evidra.llm.words import mix, slices, windows, words_of
 NEAR, WHOLE = 75, 100
 RADIUS = 0.25
 _WORDS = 5
-#: Regions up to this size are joined outright, those inside a cell up to this one; larger ones are read in pieces of this many texts.
+#: What a cell leaves of a region is compared outright up to so many texts, a region inside a cell up to this size; larger ones are read in pieces of this many texts.
 SMALL, INNER, PIECE = 24, 256, 256
 #: Pivots of a region at most, and texts that are looked at for the common order of differences.
 PIVOTS, SAMPLE = 4, 16
@@ -148,6 +148,13 @@ class _Distances:
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """``a``, ``b``, ``bound`` (a lower bound of the distance), ``linked`` for pairs of nodes (each once)."""
+        bounded = self.bounds(pairs)
+        open_ = bounded.where(F.col("bound") <= RADIUS + 1e-9).select("a", "b")
+        exact = written(compare_sets(open_, self.sets(open_.select(F.explode(F.array("a", "b")).alias("node")))), "exact")
+        return bounded.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("d", "bound").alias("bound"), F.coalesce("linked", F.lit(False)).alias("linked"))
+
+    def bounds(self, pairs: DataFrame) -> DataFrame:
+        """``a``, ``b``, ``bound`` for pairs of nodes, by sizes and bucket counts."""
         side = lambda x: self.reps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("buckets").alias(f"k_{x}"))
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +165,7 @@ class _Distances:
         fits = F.least("n_a", "n_b") * WHOLE >= F.greatest("n_a", "n_b") * NEAR
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
         far = joined.where(~fits).select("a", "b", (1 - F.least("n_a", "n_b") / F.greatest("n_a", "n_b")).alias("bound"))
-        bounded = written(joined.where(fits).select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(bound, "a long, b long, bound double").unionAll(far), "bounds")
-        open_ = bounded.where(F.col("bound") <= RADIUS + 1e-9).select("a", "b")
-        exact = written(compare_sets(open_, self.sets(open_.select(F.explode(F.array("a", "b")).alias("node")))), "exact")
-        return bounded.join(exact, ["a", "b"], "left").select("a", "b", F.coalesce("d", "bound").alias("bound"), F.coalesce("linked", F.lit(False)).alias("linked"))
+        return written(joined.where(fits).select("a", "b", "n_a", "n_b", "k_a", "k_b").mapInArrow(bound, "a long, b long, bound double").unionAll(far), "bounds")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """``node``, ``own`` (hashes of its shingles, ascending) of each of the nodes, from one pass over the texts."""
@@ -344,26 +348,26 @@ def near_documents(docs: DataFrame) -> DataFrame:
     members = owned.select("s", "node", "at", "n", "is_rare").mapInArrow(in_region, "s long, node long, at int, n long, is_rare boolean")
     members = written(members.join(regions, "s").distinct().select("s", "node", "at", "n", "is_rare"), "members")
     distances = _Distances(known, reps.select("node", "n", "rep", "buckets"))
-    sizes = written(members.groupBy("s").count(), "sizes")
-    small = members.join(sizes.where(F.col("count") <= SMALL).select("s"), "s")
-    # 7 * intersection >= 3 * (n_x + n_y), of which at least what comes after the first common shingle is left
-    pairs = _pairs(small, ["s"], "at", "n", far=lambda x, y: (7 * (x["n"] - x["at"]) < 3 * (x["n"] + y["n"])) | (7 * (y["n"] - y["at"]) < 3 * (x["n"] + y["n"])))
-    large = _attach(members.select("s", "node"), written(sizes.where(F.col("count") > SMALL).select("s"), "large-regions"), ["s"])
-    large = written(large.join(large.groupBy("node").agg(F.count("*").alias("degree")), "node"), "large")
-    pivot = written(large.groupBy("s").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("pivot")), "pivots")
+    met = members.groupBy("node").agg(F.count("*").alias("degree"), F.count_if("is_rare").alias("met"))
+    met = written(met, "met")
+    pivot = written(members.select("s", "node").join(met, "node").groupBy("s").agg(F.min_by("node", F.struct(-F.col("degree"), F.col("node"))).alias("pivot")), "pivots")
     # ``alone``: rare shingles that no other text owns; a text that owns all its rare ones shares none of these
-    shared_rare = members.groupBy("node").agg(F.count_if("is_rare").alias("met"))
-    facts = reps.join(shared_rare, "node").select("node", "n", "full", (F.col("rare") - F.col("met")).alias("alone"))
-    first = written(_attach(large.select("s", "node"), pivot, ["s"]).select("pivot", "node").where("pivot <> node").distinct(), "first")
+    facts = reps.join(met, "node").select("node", "n", "full", (F.col("rare") - F.col("met")).alias("alone"))
+    placed = written(_attach(members.select("s", "node", "at", "n"), pivot, ["s"]).where("pivot <> node"), "placed")
+    first = placed.select("pivot", "node").distinct()
     side = lambda x: facts.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "full", "alone")))
-    asked = first.join(side("node"), "node").join(side("pivot"), "pivot").where(_may_link()).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    got = written(distances.near(written(pairs.unionAll(asked).distinct(), "pairs")), "near")
+    first = written(first.join(side("node"), "node").join(side("pivot"), "pivot").select("pivot", "node", _may_link().alias("open")), "first")
+    got = written(distances.near(written(first.where("open").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")), "near")
     parts = written(connected_components(got.where("linked").select("a", "b")), "parts")
-    level = written(_rest(first, got, parts), "regions")
-    sets = distances.sets(level.select(F.explode(F.array("node", "pivot")).alias("node"))) if not level.isEmpty() else None
-    while not level.isEmpty():  # each level's regions have lost their pivots, so this ends
-        links, level = _refine(level, sets, parts, frequent)
-        parts = written(_merged(parts, links), "parts")
+    pairs, level = _rest(placed, first, got, parts)
+    open_ = distances.bounds(pairs).where(F.col("bound") <= RADIUS + 1e-9).select("a", "b")
+    again = written(open_.select(F.explode(F.array("a", "b")).alias("node")).unionAll(level.select(F.explode(F.array("node", "pivot")).alias("node"))).distinct(), "again")
+    if not again.isEmpty():
+        sets = distances.sets(again)
+        parts = written(_merged(parts, written(compare_sets(open_, sets).where("linked").select("a", "b"), "found")), "parts")
+        while not level.isEmpty():  # each level's regions have lost their pivots, so this ends
+            links, level = _refine(level, sets, parts, frequent)
+            parts = written(_merged(parts, links), "parts")
     labels = reps.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "rep")
     least = labels.groupBy("part").agg(F.min("rep").alias("component_id"))
     labels = written(labels.join(least, "part").select("node", "component_id"), "labels")
@@ -388,17 +392,27 @@ def _may_link() -> Column:
     return WHOLE * both >= NEAR * (n + p - both)
 
 
-def _rest(first: DataFrame, got: DataFrame, parts: DataFrame) -> DataFrame:
-    """What the regions of first pivots (``pivot``, ``node``) still have to join, as (``r``, ``pivot``, ``node``).
+def _rest(placed: DataFrame, first: DataFrame, got: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the cells of first pivots leave: pairs of texts (``a``, ``b``) of regions of which they leave up to ``SMALL``, and the other regions as (``r``, ``pivot``, ``node``).
 
-    Regions with a text that isn't connected with the pivot: those texts, and of the others the ones that such a text may reach by the triangle inequality.
+    Cells with a text that isn't connected with the pivot leave those texts, and of the others the ones that such a text may reach by the triangle inequality.
     """
     part = lambda x, name: parts.select(F.col("node").alias(x), F.col("component").alias(name))
     rows = first.join(part("node", "own"), "node", "left").join(part("pivot", "cell"), "pivot", "left")
-    rows = rows.select("pivot", "node", (F.coalesce("own", "node") != F.coalesce("cell", "pivot")).alias("outside"), F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
-    rows = rows.join(got, ["a", "b"], "left").select("pivot", "node", "outside", F.coalesce("bound", F.lit(0.0)).alias("lo"), F.when(F.col("linked"), F.col("bound")).otherwise(1.0).alias("hi"))
+    rows = rows.select("pivot", "node", "open", F.coalesce("own", "node").alias("part"), (F.coalesce("own", "node") != F.coalesce("cell", "pivot")).alias("outside"), F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    rows = rows.join(got, ["a", "b"], "left").select("pivot", "node", "part", "outside", F.coalesce("bound", F.when(F.col("open"), 0.0).otherwise(RADIUS)).alias("lo"), F.when(F.col("linked"), F.col("bound")).otherwise(1.0).alias("hi"))
     rows = written(rows, "bounded")
-    # a region of one other text is done: it was compared with the pivot
+    # a cell of one other text is done: it was compared with the pivot
     least = written(rows.groupBy("pivot").agg(F.min(F.when(F.col("outside"), F.col("lo"))).alias("o"), F.count("*").alias("size")).where("o is not null and size > 1").select("pivot", "o"), "outside")
-    rows = _attach(rows, least, ["pivot"]).where(F.col("outside") | (F.col("hi") >= F.col("o") - RADIUS - 1e-9))
-    return rows.select(F.col("pivot").alias("r"), "pivot", "node")
+    rows = _attach(rows, least, ["pivot"]).where(F.col("outside") | (F.col("hi") >= F.col("o") - RADIUS - 1e-9)).drop("o")
+    left = written(placed.join(rows, ["pivot", "node"]), "left")
+    sizes = written(left.groupBy("s").agg(F.count("*").alias("size"), F.count_if("outside").alias("out"), F.min("part").alias("one"), F.max("part").alias("two")).where("size > 1 and out > 0 and one <> two").select("s", "size"), "sizes")
+    left = written(_attach(left, sizes, ["s"]), "open")
+
+    def far(x: Column, y: Column) -> Column:
+        """If two texts of a region are connected, or too far apart by their windows of distances to the pivot, or by their sizes and places of the common shingle: 7 * intersection >= 3 * (n_x + n_y), of which at least what comes after it is left."""
+        apart = (x["part"] == y["part"]) | (~x["outside"] & ~y["outside"]) | (x["lo"] - y["hi"] > RADIUS + 1e-9) | (y["lo"] - x["hi"] > RADIUS + 1e-9)
+        return apart | (7 * (x["n"] - x["at"]) < 3 * (x["n"] + y["n"])) | (7 * (y["n"] - y["at"]) < 3 * (x["n"] + y["n"]))
+
+    pairs = written(_pairs(left.where(F.col("size") <= SMALL), ["s"], "at", "n", "part", "outside", "lo", "hi", far=far), "pairs")
+    return pairs, written(left.where(F.col("size") > SMALL).select(F.col("pivot").alias("r"), "pivot", "node").distinct(), "regions")

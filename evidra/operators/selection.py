@@ -2,7 +2,8 @@
 
 Rows: key, domain, label, one vector for each layer. Each task adds up, by layer and domain, the count, sum and cross products of its vectors, and by run and label the counts and sums: a run is
 the rows' own labels (0) or a permutation of them within domains. Every fit (outer domain held out, inner domain held out too or none, penalty, run) is a small solve on
-differences of these sums; a second pass over the rows turns all fits into confusion counts. Nothing grows with the rows but these two passes.
+differences of these sums. Folds are rows: a fold's moments are joined to it, solved in a task of its own, and its weights meet the rows of the domain that it tests, a piece of them and some runs at a time. Moments and weights are tables,
+never on the driver or whole in a worker. Nothing grows with the rows but the two passes over them.
 """
 
 from __future__ import annotations
@@ -15,68 +16,106 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.baselines import permuted_labels
-from evidra.sources.io import settled
+from evidra.operators.issues import issues
+from evidra.sources.io import attach, settled
 
 #: Penalties of the ridge probe, tried in this order.
 ALPHAS = (0.01, 0.1, 1.0, 10.0)
 DIGITS = 9
-#: Numbers that all fits or all moments may have together, as they are sent to each worker.
-MOST = 1 << 26
+#: Numbers that the moments of one layer and domain may have, and those that a task adds up before it passes them on.
+MOST, HELD = 1 << 24, 1 << 23
+#: Rows of a domain, and runs, that meet a fold's weights at a time.
+PIECE, RUNS = 20_000, 25
 
 
-def run_labels(rows: DataFrame, key: str, domain: str, label: str, labels: list[str], permutations: int, salt: str) -> DataFrame:
-    """``key``, ``y``: positions of a row's label in each run, its own first."""
-    cases = rows.select(F.col(key).alias("case_id"), F.col(domain).cast("string").alias("domain"), F.col(label).cast("string").alias("label"))
-    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label")) - 1
-    own = cases.select("case_id", F.lit(0).alias("perm"), place.alias("y"))
-    if permutations:
-        own = own.unionByName(permuted_labels(cases, permutations, salt).select("case_id", F.col("perm").cast("int").alias("perm"), place.alias("y")))
-    return own.groupBy("case_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("perm", "y"))), lambda s: s["y"].cast("int")).alias("y")).withColumnRenamed("case_id", key)
+def unlabelled(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """An issue for each row without a label; such rows take no part in folds."""
+    return issues(rows.where(F.col(label).isNull()), "probe", "missing_label", label, F.col(key))
 
 
-def _blocks(b: pa.RecordBatch, dim: int) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
-    """Layer, domain, vectors and labels by run of a batch (domain, y, layers)."""
-    domains, y = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist()).reshape(b.num_rows, -1)
-    x = b.column(2).flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1, dim)
-    for d in sorted(set(domains)):
-        at = np.flatnonzero(domains == d)
-        for layer in range(x.shape[1]):
-            yield layer, d, x[at, layer], y[at]
+def run_labels(rows: DataFrame, key: str, domain: str, label: str, permutations: int, salt: str) -> tuple[DataFrame, int]:
+    """``key``, ``y``: places of a row's label, among all in order, in each run, its own first; and the number of labels. Rows without a label have none."""
+    cases = rows.select(F.col(key).alias("case_id"), F.col(domain).cast("string").alias("domain"), F.col(label).cast("string").alias("label")).where(F.col("label").isNotNull())
+    places = settled(cases.select("label").distinct().withColumn("y", (F.row_number().over(Window.orderBy("label")) - 1).cast("int")), "labels")  # a row for each label
+    own = cases.select("case_id", F.lit(0).alias("perm"), "label")
+    if permutations:
+        own = own.unionByName(permuted_labels(cases, permutations, salt).select("case_id", F.col("perm").cast("int").alias("perm"), "label"))
+    placed = attach(own, places, ["label"])
+    y = F.transform(F.sort_array(F.collect_list(F.struct("perm", "y"))), lambda s: s["y"])  # one for each run
+    return placed.groupBy("case_id").agg(y.alias("y")).withColumnRenamed("case_id", key), places.count()
 
 
-def moments(rows: DataFrame, dim: int, runs: int, k: int) -> dict[tuple[int, str], np.ndarray]:
-    """By layer and domain: n, sum (dim), cross products (dim x dim), then counts (runs x k) and sums (runs x k x dim). ``rows``: domain, y, layers.
+def _rows(b: pa.RecordBatch | pa.Table, column: str, dtype: type = np.float64) -> np.ndarray:
+    """A column of equally long arrays (of arrays) as rows of numbers."""
+    x = b.column(column)
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    while pa.types.is_list(x.type):
+        x = x.flatten()
+    return x.to_numpy(zero_copy_only=False).astype(dtype).reshape(b.num_rows, -1)
 
-    These come to the driver: domains times layers of them, at most ``MOST`` numbers.
-    """
+
+def moments(rows: DataFrame, dim: int, runs: int, k: int) -> DataFrame:
+    """By layer and domain ``m``: n, sum (dim), cross products (dim x dim), then counts (runs x k) and sums (runs x k x dim). ``rows``: domain, y, layers."""
+    size = 1 + dim + dim * dim + runs * k * (1 + dim)
+    if size > MOST:
+        raise ValueError("too many labels, runs and dimensions for the moments of one domain")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array([s[0] for s in sums], pa.int32()), pa.array([s[1] for s in sums], pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["layer", "domain", "m"])
+            sums.clear()
+            return got
+
         for b in batches:
-            for layer, d, x, y in _blocks(b, dim) if b.num_rows else ():
-                one = (y[:, :, None] == np.arange(k)).astype(float).reshape(len(x), -1)
-                own = np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel(), one.sum(0), (one.T @ x).ravel()))
-                sums[layer, d] = sums.get((layer, d), 0.0) + own
-        yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sums], pa.int32()), pa.array([s[1] for s in sums], pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["layer", "domain", "m"])
+            if not b.num_rows:
+                continue
+            domains, y, x = np.array(b.column("domain").to_pylist(), object), _rows(b, "y", np.int64), _rows(b, "layers").reshape(b.num_rows, -1, dim)
+            for d in sorted(set(domains)):
+                at = np.flatnonzero(domains == d)
+                one = (np.arange(runs) * k + y[at], np.arange(len(at))[:, None])
+                for layer in range(x.shape[1]):
+                    own = x[at, layer]
+                    sides = np.zeros((runs * k, dim))
+                    np.add.at(sides, one[0].ravel(), np.repeat(own, runs, 0))
+                    m = np.concatenate(([len(own)], own.sum(0), (own.T @ own).ravel(), np.bincount(one[0].ravel(), minlength=runs * k), sides.ravel()))
+                    sums[layer, d] = sums[layer, d] + m if (layer, d) in sums else m
+                    if len(sums) * size > HELD:
+                        yield out()
+        yield out()
 
-    size = 1 + dim + dim * dim + runs * k * (1 + dim)
-    groups = rows.select("domain").distinct().count()
-    if groups * size > MOST:
-        raise ValueError("too many domains and runs for one table of moments")
     parts = rows.select("domain", "y", "layers").mapInArrow(partial, "layer int, domain string, m array<double>")
-    each = parts.select("layer", "domain", F.posexplode("m").alias("i", "x")).groupBy("layer", "domain", "i").agg(F.sum("x").alias("x"))
-    got = each.groupBy("layer", "domain").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))  # ``size`` numbers each
-    return {(r["layer"], r["domain"]): np.array(r["m"]) for r in got.collect()}
+    return settled(_added(parts, ["layer", "domain"], "m"), "moments")
 
 
-def solve(m: np.ndarray, dim: int, runs: int, k: int, alphas: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (alphas, runs, k, dim) and intercepts (alphas, runs, k) of one-vs-rest ridge probes with +-1 targets and a free intercept, standardised by mean and population deviation, from moments."""
+def _added(parts: DataFrame, by: list[str], m: str) -> DataFrame:
+    """Sums of arrays, number by number."""
+    each = parts.select(*by, F.posexplode(m).alias("i", "x")).groupBy(*by, "i").agg(F.sum("x").alias("x"))
+    return each.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(m))  # as many numbers as an array has
+
+
+def _standard(m: np.ndarray, dim: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """n, means, deviations (below 1e-12: 1) and cross products of standardised vectors."""
     n, s, g = m[0], m[1 : 1 + dim], m[1 + dim : 1 + dim + dim * dim].reshape(dim, dim)
-    count, sums = m[1 + dim + dim * dim :][: runs * k], m[1 + dim + dim * dim + runs * k :].reshape(runs * k, dim)
     mean = s / n
     sd = np.sqrt(np.maximum(np.diag(g) / n - mean**2, 0))
     sd[sd < 1e-12] = 1
-    values, vectors = np.linalg.eigh((g - n * np.outer(mean, mean)) / np.outer(sd, sd))
+    return n, mean, sd, (g - n * np.outer(mean, mean)) / np.outer(sd, sd)
+
+
+def _sides(m: np.ndarray, dim: int, runs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (runs x k) and sums (runs x k x dim)."""
+    rest = m[1 + dim + dim * dim :]
+    return rest[: runs * k].reshape(runs, k), rest[runs * k :].reshape(runs, k, dim)
+
+
+def solve(m: np.ndarray, dim: int, runs: int, k: int, alphas: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (alphas, runs, k, dim) and intercepts (alphas, runs, k) of one-vs-rest ridge probes with +-1 targets and a free intercept, standardised by mean and population deviation, from moments."""
+    n, mean, sd, cross = _standard(m, dim)
+    count, sums = _sides(m, dim, runs, k)
+    count, sums = count.ravel(), sums.reshape(runs * k, dim)
+    values, vectors = np.linalg.eigh(cross)
     right = 2 * (sums - count[:, None] * mean) / sd
     turned = right @ vectors
     w = np.stack([(turned / (np.maximum(values, 0) + a)) @ vectors.T / sd for a in alphas])
@@ -84,42 +123,77 @@ def solve(m: np.ndarray, dim: int, runs: int, k: int, alphas: tuple) -> tuple[np
     return w.reshape(len(alphas), runs, k, dim), b.reshape(len(alphas), runs, k)
 
 
-def confusions(rows: DataFrame, by: dict[tuple[int, str], np.ndarray], dim: int, runs: int, k: int, alphas: tuple = ALPHAS) -> DataFrame:
-    """layer, outer, inner (null: the outer domain itself is tested), alpha, run, truth, predicted, n for all fits.
+def _folds(by: DataFrame, nested: bool) -> DataFrame:
+    """layer, outer, inner (null: none), and the moments of all, the outer and the inner domain."""
+    total = settled(_added(by.select("layer", F.col("m").alias("whole")), ["layer"], "whole"), "totals")
+    outer = by.select("layer", F.col("domain").alias("outer"), F.col("m").alias("out")).join(total, "layer")
+    folds = outer.select("layer", "outer", F.lit(None).cast("string").alias("inner"), "whole", "out", F.lit(None).cast("array<double>").alias("in"))
+    if nested:
+        inner = by.select("layer", F.col("domain").alias("inner"), F.col("m").alias("in"))
+        folds = folds.unionByName(outer.join(inner, "layer").where("outer <> inner"))
+    return folds
+
+
+def nested_fits(by: DataFrame, dim: int, runs: int, k: int, alphas: tuple = ALPHAS) -> DataFrame:
+    """layer, outer, inner, domain (the tested one), chunk (of ``RUNS`` runs), w: weights and intercepts (alphas x runs x k x (dim + 1)). One task solves a fold."""
+    if by.select("domain").distinct().count() < 3:
+        raise ValueError("nested folds need three domains")
+
+    def fit(key: tuple, data: pa.Table) -> pa.Table:
+        m = _rows(data, "whole")[0] - _rows(data, "out")[0]
+        if data["in"][0].is_valid:
+            m = m - _rows(data, "in")[0]
+        w, b = solve(m, dim, runs, k, alphas)
+        every = np.concatenate([w, b[..., None]], -1)
+        layer, outer, inner = (x.as_py() for x in key)
+        chunks = range(-(-runs // RUNS))
+        own = [pa.array([x] * len(chunks), t) for x, t in ((layer, pa.int32()), (outer, pa.string()), (inner, pa.string()), (outer if inner is None else inner, pa.string()))]
+        return pa.table([*own, pa.array(chunks, pa.int32()), pa.array([every[:, RUNS * c : RUNS * (c + 1)].ravel() for c in chunks], pa.list_(pa.float64()))], ["layer", "outer", "inner", "domain", "chunk", "w"])
+
+    return settled(_folds(by, True).groupBy("layer", "outer", "inner").applyInArrow(fit, "layer int, outer string, inner string, domain string, chunk int, w array<double>"), "fits")
+
+
+def _pieces(rows: DataFrame, key: str, by: str = "domain") -> DataFrame:
+    """``rows`` by layer: layer, x, and ``piece`` (``pieces``: of its domain), of about ``PIECE`` rows, by the hash of ``key``."""
+    sizes = settled(rows.groupBy(by).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")), "pieces")
+    cut = attach(rows, sizes, [by]).withColumn("piece", F.pmod(F.xxhash64(key), F.col("pieces")).cast("int"))
+    return cut.select("*", F.posexplode("layers").alias("layer", "x")).drop("layers")
+
+
+def confusions(rows: DataFrame, key: str, fits: DataFrame, dim: int, runs: int, k: int, alphas: tuple = ALPHAS) -> DataFrame:
+    """layer, outer, inner (null: the outer domain itself is tested), alpha, run, truth, predicted, n for all fits. ``rows``: key, domain, y, layers.
 
     Inner folds are tested on the run's labels, outer domains on the rows' own.
     """
-    layers, domains = sorted({x for x, _ in by}), sorted({d for _, d in by})
-    if len(domains) < 3:
-        raise ValueError("nested folds need three domains")
-    if len(layers) * len(domains) ** 2 * len(alphas) * runs * k * (dim + 1) > MOST:
-        raise ValueError("too many fits to send to each worker")
-    fits: dict[tuple[int, str], list[tuple[str, np.ndarray, np.ndarray]]] = {}
-    for layer in layers:
-        total = sum(by[layer, d] for d in domains)
-        for outer in domains:
-            left = total - by[layer, outer]
-            fits.setdefault((layer, outer), []).append((outer, *solve(left, dim, runs, k, alphas)))
-            for inner in domains:
-                if inner != outer:
-                    fits.setdefault((layer, inner), []).append((outer, *solve(left - by[layer, inner], dim, runs, k, alphas)))
-    sent = rows.sparkSession.sparkContext.broadcast(fits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        for b in batches:
-            for layer, d, x, y in _blocks(b, dim) if b.num_rows else ():
-                for outer, w, c in sent.value.get((layer, d), ()):
-                    score = np.round(np.einsum("nd,arkd->nark", x, w) + c, DIGITS)
+    chunks = -(-runs // RUNS)
+    left = _pieces(rows.select(key, "domain", "y", "layers"), key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # a run's own labels (the first) and those of the chunk
+    left = left.select("layer", "domain", "piece", "chunk", "x", F.concat(F.slice("y", 1, 1), F.slice("y", F.col("chunk") * RUNS + 1, RUNS)).alias("y"))
+    right = left.select("layer", "domain", "piece").distinct().join(fits, ["layer", "domain"])
+    at = ["layer", "domain", "piece", "chunk"]
+
+    def count(group: tuple, here: pa.Table, there: pa.Table) -> pa.Table:
+        out = []
+        if here.num_rows and there.num_rows:
+            layer, d, _, chunk = (v.as_py() for v in group)
+            x, y = _rows(here, "x"), _rows(here, "y", np.int64)
+            n = y.shape[1] - 1
+            for outer, inner, weights in zip(there["outer"].to_pylist(), there["inner"].to_pylist(), there["w"].combine_chunks(), strict=True):
+                w = weights.values.to_numpy().reshape(len(alphas), n, k, dim + 1)
+                cells: dict[int, int] = {}
+                for i in range(0, len(x), 1024):
+                    score = np.round(np.einsum("nd,arkd->nark", x[i : i + 1024], w[..., :dim], optimize=True) + w[..., dim], DIGITS)
                     said = score.argmax(-1)  # of equal scores the first label
-                    truth = np.broadcast_to((y[:, :1] if outer == d else y)[:, None, :], said.shape)
-                    cell = ((np.arange(len(alphas))[:, None] * runs + np.arange(runs)) * k + truth) * k + said
-                    key = (layer, outer, None if outer == d else d)
-                    sums[key] = sums.get(key, 0) + np.bincount(cell.ravel(), minlength=len(alphas) * runs * k * k)
-        yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in sums], pa.int32()), pa.array([s[1] for s in sums], pa.string()), pa.array([s[2] for s in sums], pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["layer", "outer", "inner", "cells"])
-
-    got = rows.select("domain", "y", "layers").mapInArrow(count, "layer int, outer string, inner string, cells array<long>")
-    each = got.select("layer", "outer", "inner", F.posexplode("cells").alias("i", "n")).groupBy("layer", "outer", "inner", "i").agg(F.sum("n").alias("n"))
+                    truth = np.broadcast_to((y[i : i + 1024, :1] if inner is None else y[i : i + 1024, 1:])[:, None, :], said.shape)
+                    cell, c = np.unique((((np.arange(len(alphas))[:, None] * runs + chunk * RUNS + np.arange(n)) * k + truth) * k + said).ravel(), return_counts=True)
+                    for j, v in zip(cell.tolist(), c.tolist(), strict=True):
+                        cells[j] = cells.get(j, 0) + v
+                out += [(layer, outer, inner, j, v) for j, v in cells.items()]
+        types = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], ["layer", "outer", "inner", "i", "n"])
+
+    got = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(count, "layer int, outer string, inner string, i long, n long")
+    each = got.groupBy("layer", "outer", "inner", "i").agg(F.sum("n").alias("n"))
     at = lambda size, mod: F.pmod(F.floor(F.col("i") / size), F.lit(mod)).cast("int")
     return each.select("layer", "outer", "inner", at(runs * k * k, len(alphas)).alias("a"), at(k * k, runs).alias("run"), at(k, k).alias("truth"), at(1, k).alias("predicted"), "n").withColumn("alpha", F.array(*map(F.lit, alphas))[F.col("a")]).drop("a")
 
@@ -174,38 +248,82 @@ def max_statistic(evals: DataFrame, alpha: float) -> DataFrame:
     return top.where("run = 0").select("layer").crossJoin(got).withColumn("status", F.when(refused, "refused").when(F.col("p") <= alpha, "pass").otherwise("null"))  # one row each
 
 
+def operator_fits(by: DataFrame, dim: int, runs: int, alpha: float) -> DataFrame:
+    """layer, domain, w: for each run the weights (dim) and offset of a ridge fit without intercept on +-1 labels, standardised, of all domains but this one; no row if there is none."""
+
+    def fit(key: tuple, data: pa.Table) -> pa.Table:
+        m = _rows(data, "whole")[0] - _rows(data, "out")[0]
+        rows = []
+        if m[0] > 0.5:
+            _, mean, sd, cross = _standard(m, dim)
+            count, sums = _sides(m, dim, runs, 2)
+            target = ((sums[:, 1] - count[:, 1:] * mean) - (sums[:, 0] - count[:, :1] * mean)) / sd
+            w = np.linalg.solve(cross + alpha * np.eye(dim), target.T).T / sd
+            rows = [np.concatenate([w, -(w @ mean)[:, None]], 1).ravel()]
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int32()), pa.array([key[1].as_py()] * len(rows), pa.string()), pa.array(rows, pa.list_(pa.float64()))], ["layer", "domain", "w"])
+
+    return settled(_folds(by, False).groupBy("layer", "outer").applyInArrow(fit, "layer int, domain string, w array<double>"), "fits")
+
+
 def score_operator(rows: DataFrame, dim: int, alpha: float) -> DataFrame:
-    """case_id, domain, family, label, layer, score: ridge without intercept on +-1 labels (``y``), standardised (a deviation below 1e-12 counts as 1), each domain scored by the others. ``rows``: case_id, domain, family, y (array of one: 0 or 1), layers."""
-    by = moments(rows, dim, 1, 2)
-    layers, domains = sorted({x for x, _ in by}), sorted({d for _, d in by})
-    fits = {}
-    for layer in layers:
-        total = sum(by[layer, d] for d in domains)
-        for d in domains:
-            m = total - by[layer, d]
-            n, s, g = m[0], m[1 : 1 + dim], m[1 + dim : 1 + dim + dim * dim].reshape(dim, dim)
-            if n <= 0:
-                continue
-            mean = s / n
-            sd = np.sqrt(np.maximum(np.diag(g) / n - mean**2, 0))
-            sd[sd < 1e-12] = 1
-            z = (g - n * np.outer(mean, mean)) / np.outer(sd, sd)
-            sums = m[1 + dim + dim * dim + 2 :].reshape(2, dim)
-            count = m[1 + dim + dim * dim :][:2]
-            target = ((sums[1] - count[1] * mean) - (sums[0] - count[0] * mean)) / sd
-            fits[layer, d] = (np.linalg.solve(z + alpha * np.eye(dim), target) / sd, mean)
-    sent = rows.sparkSession.sparkContext.broadcast(fits)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = b.column("layers").flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1, dim) if b.num_rows else np.zeros((0, 1, dim))
-            domain = b.column("domain").to_pylist()
-            values = [[float((x[i, layer] - sent.value[layer, d][1]) @ sent.value[layer, d][0]) if (layer, d) in sent.value else None for layer in range(x.shape[1])] for i, d in enumerate(domain)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("case_id", "domain", "family", "y")), pa.array(values, pa.list_(pa.float64()))], ["case_id", "domain", "family", "y", "scores"])
+    """case_id, domain, family, label, layer, score: ridge without intercept on +-1 labels (``y``), standardised (a deviation below 1e-12 counts as 1), each domain scored by the others (null: there are none). ``rows``: case_id, domain, family, y (array of one: 0 or 1), layers."""
+    fits = operator_fits(moments(rows, dim, 1, 2), dim, 1, alpha)
+    each = rows.select("case_id", "domain", "family", F.col("y")[0].alias("label"), F.posexplode("layers").alias("layer", "x"))
+    x = F.transform("x", lambda c: c.cast("double"))
+    dot = F.aggregate(F.zip_with(x, F.slice("w", 1, dim), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + F.col("w")[dim]
+    weights = F.broadcast(fits) if fits.count() * (dim + 1) <= 1 << 22 else fits  # 32 MB at most
+    return settled(each.join(weights, ["layer", "domain"], "left").select("case_id", "domain", "family", "label", "layer", dot.alias("score")), "scores")
+
+
+def swap_labels(rows: DataFrame, swaps: int, salt: str) -> tuple[DataFrame, int]:
+    """``rows`` (case_id, domain, family, y, layers) with ``y`` for each run, their own labels first, then ``swaps`` draws that swap the labels within families by the parity of a digest of run and family; and the number of runs.
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    got = rows.select("case_id", "domain", "family", "y", "layers").mapInArrow(score, f"case_id {kinds['case_id']}, domain string, family {kinds['family']}, y array<int>, scores array<double>")
-    return settled(got.select("case_id", "domain", "family", F.col("y")[0].alias("label"), F.posexplode("scores").alias("layer", "score")), "scores")
+    Families of other than one positive and one negative, in one domain, keep their labels and are marked (``paired`` false). No two draws are the same: of a few families there may be fewer draws than asked.
+    """
+    paired = rows.groupBy("family").agg(((F.count("*") == 2) & (F.sum(F.col("y")[0]) == 1) & (F.count_distinct("domain") == 1)).alias("paired"))
+    rows = settled(rows.join(paired, "family", "left").withColumn("paired", F.coalesce("paired", F.lit(False))), "families")
+    name = F.col("family").cast("string")
+    bit = lambda run: F.pmod(F.xxhash64(F.lit(salt), run, name), F.lit(2)).cast("int")
+    drawn = rows.where("paired").select("family").distinct().select("family", F.explode(F.sequence(F.lit(1), F.lit(2 * swaps))).alias("run"))
+    marks = drawn.groupBy("run").agg(F.sum(F.when(bit(F.col("run")) == 1, F.xxhash64(name)).otherwise(0).cast("decimal(38,0)")).alias("mark"))
+    distinct = marks.groupBy("mark").agg(F.min("run").alias("run")).orderBy("run").limit(swaps)
+    runs = [0, *sorted(r["run"] for r in distinct.collect())]  # ``swaps`` numbers
+    own = F.col("y")[0]
+    y = F.transform(F.array(*map(F.lit, runs)), lambda r: F.when((r > 0) & F.col("paired") & (bit(r) == 1), 1 - own).otherwise(own).cast("int"))
+    return settled(rows.withColumn("y", y), "swaps"), len(runs)
+
+
+def swap_null(rows: DataFrame, dim: int, alpha: float, swaps: int, salt: str, layers: list[int] | None = None) -> DataFrame:
+    """One row: observed, families, least, median (sorted, at n div 2), most, runs, p of the families won, the most over ``layers`` (default: all), against probes fitted anew on labels swapped within families.
+
+    A family is won if its positive scores above its negative, by the labels of the run. Vectors stay, so a fold's cross products are solved once for all runs. p = (1 + null at least the observed) / (1 + runs).
+    """
+    labels, runs = swap_labels(rows, swaps, salt)
+    fits = operator_fits(moments(labels, dim, runs, 2), dim, runs, alpha)
+    chosen = labels.where("paired").select("family", "domain", "y", "layers")
+    left = _pieces(chosen, "family").select("layer", "domain", "piece", "family", "x", "y")
+    if layers is not None:
+        left = left.where(F.col("layer").isin(layers))
+    at = ["layer", "domain", "piece"]
+    right = left.select(*at).distinct().join(fits, ["layer", "domain"])
+
+    def count(group: tuple, here: pa.Table, there: pa.Table) -> pa.Table:
+        wins = np.zeros(0, np.int64)
+        if here.num_rows and there.num_rows:
+            here = here.take(pa.array(np.lexsort((_rows(here, "y", np.int64)[:, 0], np.unique(here["family"].to_pylist(), return_inverse=True)[1]))))
+            x, y = _rows(here, "x"), _rows(here, "y", np.int64)
+            w = _rows(there, "w").reshape(runs, dim + 1)
+            gap = (x[1::2] - x[::2]) @ w[:, :dim].T * (2 * y[1::2] - 1)
+            wins = (np.round(gap, 12) > 0).sum(0)
+        return pa.table([pa.array(np.full(len(wins), group[0].as_py()), pa.int32()), pa.array(np.arange(len(wins), dtype=np.int32)), pa.array(wins.astype(np.int64))], ["layer", "run", "won"])
+
+    won = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(count, "layer int, run int, won long").groupBy("layer", "run").agg(F.sum("won").alias("won"))
+    best = settled(won.groupBy("run").agg(F.max("won").alias("won")), "null")
+    families = chosen.select("family").distinct().agg(F.count("*").alias("families"))
+    null = best.where("run > 0").withColumn("i", F.row_number().over(Window.orderBy("won", "run")) - 1)  # a row for each run
+    got = null.crossJoin(F.broadcast(best.where("run = 0").select(F.col("won").alias("observed"))))  # one row
+    got = got.groupBy("observed").agg(F.min("won").alias("least"), F.max(F.when(F.col("i") == F.lit((runs - 1) // 2), F.col("won"))).alias("median"), F.max("won").alias("most"), F.count("*").alias("runs"), p_value(F.col("observed"), F.col("won")).alias("p"))
+    return got.crossJoin(families)  # one row each
 
 
 def combo_f1(scores: DataFrame) -> DataFrame:
@@ -216,22 +334,18 @@ def combo_f1(scores: DataFrame) -> DataFrame:
 
 
 def family_wins(scores: DataFrame) -> DataFrame:
-    """layer, family, domain, difference: of families of one positive and one negative, positive score less negative."""
-    got = scores.groupBy("layer", "family").agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.min("domain").alias("domain"), F.sum(F.when(F.col("label") == 1, F.col("score")).otherwise(-F.col("score"))).alias("difference"))
-    return got.where("n = 2 and p = 1").drop("n", "p")
+    """layer, family, domain, difference: of families of one positive and one negative in one domain, positive score less negative."""
+    got = scores.groupBy("layer", "family").agg(F.count("*").alias("n"), F.sum("label").alias("p"), F.min("domain").alias("domain"), F.count_distinct("domain").alias("d"), F.sum(F.when(F.col("label") == 1, F.col("score")).otherwise(-F.col("score"))).alias("difference"))
+    return got.where("n = 2 and p = 1 and d = 1").drop("n", "p", "d")
 
 
-def primary_endpoint(scores: DataFrame, surface_f1: DataFrame, primary: int, swaps: int, salt: str, limits: dict[str, float]) -> DataFrame:
-    """One row for the primary layer: families won, their number, p by label swaps within families, margin over the best surface baseline, domains with a positive mean difference, and the decision: ``positive`` if all limits (p, margin, rate, domains) hold."""
+def primary_endpoint(scores: DataFrame, null: DataFrame, surface_f1: DataFrame, primary: int, limits: dict[str, float]) -> DataFrame:
+    """One row for the primary layer: families won, their number, p (of ``null``, a ``swap_null`` of that layer), margin over the best surface baseline, domains with a positive mean difference, and the decision: ``positive`` if all limits (p, margin, rate, domains) hold."""
     own = family_wins(scores).where(F.col("layer") == primary)
-    runs = F.explode(F.sequence(F.lit(1), F.lit(swaps))).alias("run")
-    sign = F.when(F.pmod(F.xxhash64(F.lit(salt), F.col("run"), F.col("family").cast("string")), F.lit(2)) == 1, -1).otherwise(1)
-    null = own.select("family", "difference", runs).groupBy("run").agg(F.count_if(sign * F.col("difference") > 0).alias("null"))
-    won = own.agg(F.count_if(F.col("difference") > 0).alias("observed"), F.count("*").alias("families"))
-    tested = won.crossJoin(null).groupBy("observed", "families").agg(((1 + F.count_if(F.col("null") >= F.col("observed"))) / (1 + F.count("null"))).alias("p"))  # one observed row
     directions = own.groupBy("domain").agg(F.avg("difference").alias("d")).agg(F.count_if(F.col("d") > 0).alias("domains_up"), F.count("*").alias("domains"))
     margin = combo_f1(scores).where(F.col("layer") == primary).select("macro_f1").crossJoin(surface_f1.agg(F.max("macro_f1").alias("surface"))).select("macro_f1", (F.col("macro_f1") - F.col("surface")).alias("margin"))
     ok = (F.col("p") <= limits["p"]) & (F.col("margin") >= limits["margin"]) & (F.col("observed") >= limits["rate"] * F.col("families")) & (F.col("domains_up") >= limits["domains"] * F.col("domains"))
+    tested = null.select("observed", "families", "p")
     return tested.crossJoin(directions).crossJoin(margin).withColumn("decision", F.when(ok, "positive").otherwise("null"))  # one row each
 
 

@@ -25,11 +25,10 @@ def _healthy(spark, sf_dir):
 
 def _cells(spark, sf_dir, permutations):
     rows = _healthy(spark, sf_dir).select("vec_id", (F.col("vec_id") % 5).cast("string").alias("domain"), F.col("label").cast("string").alias("label"), _layers().alias("layers"))
-    labels = sorted(r[0] for r in rows.select("label").distinct().where("label is not null").limit(B.LABELS).collect())
-    y = S.run_labels(rows, "vec_id", "domain", "label", labels, permutations, "block-1")
-    rows = settled(rows.join(y, "vec_id").select("domain", "y", "layers"), "layers")
-    by = S.moments(rows, DIM, permutations + 1, len(labels))
-    return settled(S.confusions(rows, by, DIM, permutations + 1, len(labels)), "confusions")
+    y, k = S.run_labels(rows, "vec_id", "domain", "label", permutations, "block-1")
+    rows = settled(rows.join(y, "vec_id").select("vec_id", "domain", "y", "layers"), "layers")
+    fits = S.nested_fits(S.moments(rows, DIM, permutations + 1, k), DIM, permutations + 1, k)
+    return settled(S.confusions(rows, "vec_id", fits, DIM, permutations + 1, k), "confusions")
 
 
 def _evals(spark, sf_dir, permutations):
@@ -85,6 +84,16 @@ def _scores(spark, sf_dir):
     return S.score_operator(_paired(spark, sf_dir), DIM, 1.0)
 
 
+def _null(spark, sf_dir, layers=None):
+    """Families won against 199 refits on labels swapped within families."""
+    return S.swap_null(_paired(spark, sf_dir), DIM, 1.0, 199, "swap-1", layers)
+
+
+def g15_swap_null(spark, sf_dir):
+    """The most families that a layer wins, against the most that any wins when labels are swapped and all layers' probes fitted anew."""
+    return rounded(_null(spark, sf_dir), "p")
+
+
 def g10_score_operator(spark, sf_dir):
     return rounded(_scores(spark, sf_dir).select("case_id", "layer", "label", "score"), "score")
 
@@ -103,7 +112,7 @@ def g16_surface_margin(spark, sf_dir):
 
 
 def g17_endpoint_decision(spark, sf_dir):
-    return rounded(S.primary_endpoint(_scores(spark, sf_dir), _surface(spark, sf_dir), 0, 199, "swap-1", LIMITS), "p", "macro_f1", "margin")
+    return rounded(S.primary_endpoint(_scores(spark, sf_dir), _null(spark, sf_dir, [0]), _surface(spark, sf_dir), 0, LIMITS), "p", "macro_f1", "margin")
 
 
 def g18_sensitivity(spark, sf_dir):
@@ -114,7 +123,7 @@ def g25_primary_suite(spark, sf_dir):
     """The primary layer's decision beside all layers' metrics, bound to the digest of the labels that were read."""
     scores, rows = _scores(spark, sf_dir), _paired(spark, sf_dir)
     bound = rows.select(F.sha2(F.concat_ws(":", "case_id", F.col("y")[0].cast("string")), 256).alias("h")).agg(F.sum(F.conv(F.substring("h", 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("labels_digest"))
-    end = S.primary_endpoint(scores, _surface(spark, sf_dir), 0, 199, "swap-1", LIMITS).select("p", "decision")
+    end = S.primary_endpoint(scores, _null(spark, sf_dir, [0]), _surface(spark, sf_dir), 0, LIMITS).select("p", "decision")
     got = S.sensitivity(scores, 0).crossJoin(F.broadcast(end)).crossJoin(F.broadcast(bound))  # one row each
     return rounded(got.withColumns({"p": F.when(F.col("primary"), F.col("p")), "decision": F.when(F.col("primary"), F.col("decision"))}), "macro_f1", "accuracy", "range", "p")
 
@@ -135,7 +144,7 @@ def g23_direction_gates(spark, sf_dir):
     return S.direction_gates(rows.where("layer = 0"), directions, "layer", F.col("t"), 10, 2)
 
 
-QUERIES = {f.__name__: f for f in (g4_nested_alpha, g5_nested_outer_eval, g6_blocked_permutation, g7_layer_test, g8_max_statistic, g10_score_operator, g16_surface_margin, g17_endpoint_decision, g18_sensitivity, g21_random_direction_control, g23_direction_gates, g24_probe_suite, g25_primary_suite)}
+QUERIES = {f.__name__: f for f in (g4_nested_alpha, g5_nested_outer_eval, g6_blocked_permutation, g7_layer_test, g8_max_statistic, g10_score_operator, g15_swap_null, g16_surface_margin, g17_endpoint_decision, g18_sensitivity, g21_random_direction_control, g23_direction_gates, g24_probe_suite, g25_primary_suite)}
 
 #: Ridge solves can't be said in SQL; tests fit directly.
 ORACLE_SQL = {

@@ -336,15 +336,20 @@ def test_pairs_seen_once_count_and_large_filters_give_the_same_scores(spark, mon
     assert [r[:6] for r in pick(lm_score.score_texts(frame, most_bits=1))] == [r[:6] for r in pick(want)]
 
 
-def test_filter_holds_every_ngram(spark):
-    rows = [(2 * i, 1) for i in range(500)] + [((i << 33) + 2 * j + 1, 1 + i % 3) for i in range(40) for j in range(50)]
-    table, chunks, words_each = lm_score.build_filter(spark.createDataFrame(rows, "key long, n long"))
-    bits = np.zeros((chunks, words_each), np.uint64)
-    for r in table.collect():
-        bits[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint64)
-    keys, n = np.array(rows).T
-    found = lm_score.Filter(bits.ravel(), chunks).levels(keys.astype(np.uint64))
-    assert (found >= lm_score.level(n)).all() and (found == lm_score.level(n)).mean() > 0.95
+def test_filter_holds_every_ngram():
+    rng = np.random.default_rng(5)
+    keys, n = np.unique(rng.integers(0, 1 << 64, 3000, np.uint64)), rng.integers(1, 40, 3000)
+    n = n[: len(keys)]
+    for chunks in (2, 16):
+        of = lm_score.chunk_of(keys, chunks)
+        assert (np.diff(of) >= 0).all() and set(of) == set(range(chunks))
+        bits = [lm_score.fill_chunk(keys[of == c], n[of == c]) for c in range(chunks)]
+        every = lm_score.Filter(np.concatenate([np.packbits(x, bitorder="little") for x in bits]), np.cumsum([0, *map(len, bits)]))
+        found = every.levels(keys)
+        assert (found >= lm_score.level(n)).all() and (found == lm_score.level(n)).mean() > 0.95
+        alone = np.concatenate([lm_score.probe_levels(keys[of == c], len(x), lambda at, _, x=x: x[at]) for c, x in enumerate(bits)])
+        assert (found == alone).all()  # the broadcast filter says what each chunk says by itself
+        assert (every.levels(rng.integers(0, 1 << 64, 3000, np.uint64)) > 0).mean() < 0.05
 
 
 def shingles(t):
