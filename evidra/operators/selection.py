@@ -170,6 +170,7 @@ def confusions(rows: DataFrame, key: str, fits: DataFrame, dim: int, runs: int,
     # a run's own labels (the first) and those of the chunk
     left = left.select("layer", "domain", "piece", "chunk", "x", F.concat(F.slice("y", 1, 1), F.slice("y", F.col("chunk") * RUNS + 1, RUNS)).alias("y"))
     right = left.select("layer", "domain", "piece").distinct().join(fits, ["layer", "domain"])
+    right = right.toDF(*right.columns)  # columns of its own, as cogroup asks
     at = ["layer", "domain", "piece", "chunk"]
 
     def count(group: tuple, here: pa.Table, there: pa.Table) -> pa.Table:
@@ -306,6 +307,7 @@ def swap_null(rows: DataFrame, dim: int, alpha: float, swaps: int, salt: str, la
         left = left.where(F.col("layer").isin(layers))
     at = ["layer", "domain", "piece"]
     right = left.select(*at).distinct().join(fits, ["layer", "domain"])
+    right = right.toDF(*right.columns)  # columns of its own, as cogroup asks
 
     def count(group: tuple, here: pa.Table, there: pa.Table) -> pa.Table:
         wins = np.zeros(0, np.int64)
