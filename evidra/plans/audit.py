@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidra.functions import text as T
 from evidra.operators import audit as A
 from evidra.operators.issues import audit_status, row_rules
+from evidra.operators.rules import declared_rules
 from evidra.plans.tables import CASES, cases, rounded, table
 
 TERMS = ["mit license", "password", "idiot", "all rights reserved"]
@@ -113,6 +114,31 @@ def c14_rule_set(spark, sf_dir):
     return row_rules(table(spark, sf_dir, "events"), "rule_set", F.col("event_id"), rules)
 
 
+#: Rules of the query on orders.
+ORDER_RULES = {
+    "type": "object",
+    "required": ["id", "status", "total"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer"},
+        "status": {"enum": ["F", "O"]},
+        "priority": {"type": "string", "pattern": "^[1-4]-"},
+        "words": {"items": {"type": "string", "maxLength": 8}, "maxItems": 2},
+        "total": {"$ref": "#/$defs/amount"},
+    },
+    "if": {"properties": {"status": {"const": "F"}}},
+    "then": {"properties": {"total": {"maximum": 300000}}},
+    "$defs": {"amount": {"type": "number", "minimum": 5000, "exclusiveMaximum": 400000}},
+}
+
+
+def c14_declared_rules(spark, sf_dir):
+    """A tree of declared rules on the orders as JSON, their priorities' words as a list."""
+    words = F.split("o_orderpriority", "[- ]")
+    fields = (F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), words.alias("words"), F.col("o_totalprice").alias("total"))
+    return declared_rules(table(spark, sf_dir, "orders"), "declared_rules", F.col("o_orderkey"), F.to_json(F.struct(*fields)), ORDER_RULES)
+
+
 def c15_cross_reuse(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return A.cross_reuse(docs.where("split = 'a'"), docs.where("split = 'b'"), ["source", "lang", "text"])
@@ -258,6 +284,17 @@ SELECT *, round(generated / sourced, 6) AS share, not_allowed = 0 AND generated
 SELECT coalesce(a.source, b.source) AS source, CASE WHEN a.source IS NULL THEN 'added' WHEN b.source IS NULL THEN 'removed' ELSE 'changed' END AS code FROM a FULL JOIN b ON a.source = b.source WHERE a.digest IS DISTINCT FROM b.digest""",
     "c13_snapshot_agreement": """WITH p AS (SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), u AS (SELECT l_orderkey, sum(n) AS m, sum(n * (n - 1)) / 2 AS mt FROM p GROUP BY 1), r AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS k FROM lineitem GROUP BY 1)
 SELECT count(*) AS units, count(*) FILTER (k >= 3) AS enough, round(avg(CASE WHEN k >= 3 THEN mt / (m * (m - 1) / 2) ELSE 0 END), 6) AS mean, round(sum(mt) FILTER (k >= 3) / sum(m * (m - 1) / 2) FILTER (k >= 3), 6) AS pooled FROM u JOIN r USING (l_orderkey)""",
+    "c14_declared_rules": """WITH o AS (SELECT *, regexp_split_to_array(o_orderpriority, '[- ]') AS w FROM orders), e AS (
+SELECT o_orderkey AS k, 'enum' AS code, '$.status' AS field FROM o WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL
+SELECT o_orderkey, 'required', '$.status' FROM o WHERE o_orderstatus IS NULL UNION ALL
+SELECT o_orderkey, 'required', '$.total' FROM o WHERE o_totalprice IS NULL UNION ALL
+SELECT o_orderkey, 'pattern', '$.priority' FROM o WHERE NOT regexp_matches(o_orderpriority, '^[1-4]-') UNION ALL
+SELECT o_orderkey, 'maxItems', '$.words' FROM o WHERE len(w) > 2 UNION ALL
+SELECT o_orderkey, 'maxLength', '$.words[' || i || ']' FROM (SELECT o_orderkey, unnest(w) AS x, unnest(range(len(w))) AS i FROM o) WHERE length(x) > 8 UNION ALL
+SELECT o_orderkey, 'minimum', '$.total' FROM o WHERE o_totalprice < 5000 UNION ALL
+SELECT o_orderkey, 'exclusiveMaximum', '$.total' FROM o WHERE o_totalprice >= 400000 UNION ALL
+SELECT o_orderkey, 'maximum', '$.total' FROM o WHERE (o_orderstatus IS NULL OR o_orderstatus = 'F') AND o_totalprice > 300000)
+SELECT 'declared_rules' AS "check", code, field, CAST(k AS VARCHAR) AS entity_id, CAST(NULL AS VARCHAR) AS other_id, CAST(NULL AS VARCHAR) AS detail, 'error' AS severity FROM e""",
     "c14_rule_set": _rules("events", "rule_set", "event_id", [("not_json", "props", "props IS NULL OR NOT json_valid(props)"), ("required", "k", "props ->> '$.k' IS NULL"), ("maximum", "k", "coalesce(try_cast(props ->> '$.k' AS DOUBLE) > 90, false)"), ("extra", "props", "coalesce(len(json_keys(props)) > 1, false)")]),
     "c15_cross_reuse": f"WITH {_DOCS} " + " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS shared FROM (SELECT {c} FROM docs WHERE split = 'a' INTERSECT SELECT {c} FROM docs WHERE split = 'b')" for c in ("source", "lang", "text")),
     "c15_exact_text_reuse": f"""WITH {_DOCS}, n AS (SELECT doc_id, split, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g')) AS norm FROM docs)
