@@ -19,6 +19,32 @@ def d0_annotation_filter(spark, sf_dir):
     return got.select("unit", "rater", "label", "l_partkey", "l_suppkey", "code")
 
 
+def _records(spark, sf_dir):
+    """Line items as annotation records, two files to a rater, with faults by part, supplier and quantity."""
+    q, sha = F.col("l_quantity").cast("long"), F.md5(F.col("l_orderkey").cast("string"))
+    rater = F.when((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 4 == 0), 8).otherwise(F.col("l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_linenumber").cast("string"), (F.col("l_suppkey") % 2).cast("string")).alias("file"), (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")).alias("line"), rater.cast("string").alias("rater_id"),
+        (F.col("l_orderkey") * 100 + F.col("l_partkey") % 40).alias("annotation_id"), F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("label"), F.when(q != 1, F.col("l_partkey").cast("string")).alias("session_id"),
+        F.when(q == 2, "x").otherwise(sha).alias("case_sha256"), F.when(q == 3, "x").otherwise("b1").alias("batch"), F.when(q == 4, "v0").otherwise("v1").alias("view"), (q == 5).alias("machine"), F.when(q == 6, "g0").otherwise("g1").alias("guide"), q.alias("quantity"),
+    )
+
+
+def _checked(spark, sf_dir):
+    known = _units(spark, sf_dir).where("unit % 50 <> 0").select(F.col("unit").alias("case_id"), F.md5(F.col("unit").cast("string")).alias("case_sha256"))
+    return A.annotation_checks(_records(spark, sf_dir), known, F.col("quantity") != 7, ["A", "N"], {"batch": "b1", "view": "v1", "machine": False, "guide": "g1"})
+
+
+def d0_annotation_checks(spark, sf_dir):
+    """All issues of the records."""
+    return _checked(spark, sf_dir)[0]
+
+
+def d0_checked_annotations(spark, sf_dir):
+    """What passes, as the statistics take it."""
+    return _checked(spark, sf_dir)[1].select("case_id", "rater_id", "label", "file", "line")
+
+
 def d1_pairwise_agreement(spark, sf_dir):
     return rounded(A.pairwise_agreement(A.unit_counts(ratings(spark, sf_dir), "unit", "label")), "agreement")
 
@@ -72,7 +98,7 @@ def d10_rater_order(spark, sf_dir):
     return A.rater_order(ratings(spark, sf_dir), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("unit")), "rater", "unit", "guide-1")
 
 
-QUERIES = {f.__name__: f for f in (d0_annotation_filter, d1_pairwise_agreement, d1_unit_agreement, d2_alpha_nominal, d3_alpha_ordinal, d4_bootstrap_ci, d5_abstention_rate, d6_consensus, d7_coverage, d8_mean_abs_diff, d9_freeze_decision, d10_rater_order)}
+QUERIES = {f.__name__: f for f in (d0_annotation_filter, d0_annotation_checks, d0_checked_annotations, d1_pairwise_agreement, d1_unit_agreement, d2_alpha_nominal, d3_alpha_ordinal, d4_bootstrap_ci, d5_abstention_rate, d6_consensus, d7_coverage, d8_mean_abs_diff, d9_freeze_decision, d10_rater_order)}
 
 _COUNTS = f"""WITH {RATINGS}, per AS (SELECT unit, label, count(*) AS n FROM ratings GROUP BY ALL),
 u AS (SELECT unit, CAST(sum(n) AS BIGINT) AS m, CAST(sum(n * n) AS BIGINT) AS sq, count(*) AS k, max(label) AS any_label FROM per GROUP BY unit)"""
@@ -82,7 +108,26 @@ _NOMINAL = f"""{_COUNTS}, w AS (SELECT * FROM u WHERE m >= 2), t AS (SELECT CAST
 c AS (SELECT sum(x * x) AS s FROM (SELECT label, sum(n) AS x FROM per WHERE unit IN (SELECT unit FROM w) GROUP BY label)),
 a AS (SELECT n, CAST(d AS DOUBLE) / n AS observed, (CAST(n AS DOUBLE) * n - s) / (CAST(n AS DOUBLE) * (n - 1)) AS expected FROM t, c)"""
 
+_RECORDS = """WITH r AS (SELECT l_linenumber || '-' || (l_suppkey % 2) AS file, l_orderkey * 1000000 + l_partkey AS line, CAST(CASE WHEN l_linenumber = 7 AND l_suppkey % 4 = 0 THEN 8 ELSE l_linenumber END AS VARCHAR) AS rater_id,
+  l_orderkey * 100 + l_partkey % 40 AS annotation_id, l_orderkey AS case_id, l_returnflag AS label, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+f AS (SELECT file, min(rater_id) AS rater, min(rater_id) = max(rater_id) AS one FROM r GROUP BY file),
+g AS (SELECT *, min(file) OVER (PARTITION BY rater) AS first FROM f WHERE one),
+a AS (SELECT r.*, {'f': file, 'l': line} AS pos FROM r WHERE file IN (SELECT file FROM g)),
+i AS (SELECT annotation_id, min(pos) AS head FROM a WHERE q <> 7 GROUP BY 1),
+b AS (SELECT a.*, CASE WHEN q = 7 THEN 'schema_invalid' WHEN a.pos > i.head THEN 'duplicate_annotation_id' WHEN case_id % 50 = 0 OR case_id NOT IN (SELECT o_orderkey FROM orders) THEN 'unknown_case' END AS gone FROM a LEFT JOIN i USING (annotation_id)),
+s AS (SELECT case_id, rater_id, min(pos) AS seen FROM b WHERE gone IS NULL AND q > 6 AND label IN ('A', 'N') GROUP BY ALL),
+c AS (SELECT b.*, gone IS NULL AND q > 6 AND label IN ('A', 'N') AS passing, coalesce(pos > seen, false) AS later FROM b LEFT JOIN s USING (case_id, rater_id))"""
+
 ORACLE_SQL = {
+    "d0_annotation_checks": f"""{_RECORDS}, e AS (
+SELECT file, CAST(line AS VARCHAR) AS line, gone AS code FROM c WHERE gone IS NOT NULL UNION ALL
+SELECT file, CAST(line AS VARCHAR), ['missing_session_id', 'invalid_case_hash', 'invalid_batch', 'invalid_view', 'invalid_machine', 'invalid_guide'][q] FROM c WHERE gone IS NULL AND q <= 6 UNION ALL
+SELECT file, CAST(line AS VARCHAR), 'invalid_label' FROM c WHERE gone IS NULL AND label NOT IN ('A', 'N') UNION ALL
+SELECT file, CAST(line AS VARCHAR), 'duplicate_case_rater' FROM c WHERE gone IS NULL AND label IN ('A', 'N') AND later)
+SELECT 'annotations' AS "check", code, '' AS field, file AS entity_id, line AS other_id, CAST(NULL AS VARCHAR) AS detail, 'error' AS severity FROM e UNION ALL
+SELECT 'annotations', 'mixed_or_missing_rater_file', 'rater_id', file, NULL, NULL, 'error' FROM f WHERE NOT one UNION ALL
+SELECT 'annotations', 'duplicate_rater_file', 'rater_id', file, first, NULL, 'error' FROM g WHERE file <> first""",
+    "d0_checked_annotations": f"{_RECORDS} SELECT case_id, rater_id, label, file, line FROM c WHERE passing AND NOT later",
     "d0_annotation_filter": f"""WITH {RATINGS}, known AS (SELECT o_orderkey AS unit FROM orders WHERE o_orderkey % 50 <> 0),
 f AS (SELECT r.*, CASE WHEN r.unit NOT IN (SELECT unit FROM known) THEN 'unknown_unit' WHEN label NOT IN ('A', 'N') THEN 'label_not_allowed' END AS c FROM ratings r)
 SELECT unit, rater, label, l_partkey, l_suppkey,
