@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from evidra.functions import text as T
+from evidra.operators import edits
 from evidra.operators import probes as G
 from evidra.operators import similarity as S
 from evidra.plans.tables import rounded, table
@@ -92,6 +93,12 @@ def c16_edit_near_duplicate(spark, sf_dir):
     return S.edit_near_duplicates(lines.where(F.length("line").between(12, 120)), "doc_id", "line", "source", 2)
 
 
+def c16_near_texts(spark, sf_dir):
+    """Every document with the documents of other sources whose whole normalised text is equal or near (a ratio of 0.995 or more): class and numbers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", T.norm_surface(F.col("text")).alias("surface"))
+    return rounded(edits.near_text_links(docs, "doc_id", "surface", "source", 0.995), "best")
+
+
 def c17_pair_similarity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     pairs = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
