@@ -34,6 +34,20 @@ def a1_scan_jsonl(spark, sf_dir):
     return good.groupBy("k").agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.col("code").alias("k")).agg(F.count("*").alias("n")))
 
 
+def a1_scan_files(spark, sf_dir):
+    """Events written as files of JSON lines, one for each 1,000 events and some lines blank, cut short or no objects, read back with file and line: every row and every issue."""
+    part = F.floor(F.col("event_id") / 1000).cast("long")
+    whole = F.to_json(F.struct("event_id", "event_type", "value"))
+    line = F.when(F.col("event_id") % 29 == 3, "  ").when(F.col("event_id") % 31 == 5, F.expr("left(props, length(props) - 1)")).when(F.col("event_id") % 37 == 7, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(whole)
+    path = _shared(spark, sf_dir, "lines")
+    table(spark, sf_dir, "events").select(part.alias("part"), "event_id", line.alias("value")).repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(path)
+    good, bad = io.scan_jsonl(spark, path, "event_id long, event_type string, value double")
+    part = F.regexp_extract("file", "part=(\\d+)/", 1).cast("long").alias("part")
+    rows = good.select(part, "line", "event_id", "event_type", "value", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("detail"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("event_id", "long"), ("event_type", "string"), ("value", "double"))]
+    return rows.unionByName(bad.withColumn("file", F.col("entity_id")).select(part, F.col("other_id").cast("long").alias("line"), *none, "code", "detail"))
+
+
 def a4_sink_table(spark, sf_dir):
     path = _shared(spark, sf_dir, "sink")
     io.sink_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, "json")
@@ -206,6 +220,8 @@ _GRAM = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t
 
 ORACLE_SQL = {
     "a1_scan_jsonl": """SELECT props ->> '$.k' AS k, count(*) AS n FROM events WHERE event_id % 10 > 1 GROUP BY 1 UNION ALL SELECT 'malformed_line', count(*) FROM events WHERE event_id % 10 <= 1""",
+    "a1_scan_files": """WITH l AS (SELECT *, event_id // 1000 AS part, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line FROM events WHERE event_id IS NOT NULL), k AS (SELECT *, CASE WHEN event_id % 31 = 5 THEN left(props, length(props) - 1) WHEN event_id % 37 = 7 THEN '[' || props || ']' END AS bad FROM l WHERE event_id % 29 <> 3)
+SELECT part, line, CASE WHEN bad IS NULL THEN event_id END AS event_id, CASE WHEN bad IS NULL THEN event_type END AS event_type, CASE WHEN bad IS NULL THEN value END AS value, CASE WHEN bad IS NOT NULL THEN 'malformed_line' END AS code, left(bad, 80) AS detail FROM k""",
     "a4_sink_table": "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
     "b_text_features": """WITH w AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), g AS (SELECT *, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS g FROM w)
 SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS norm_dataset, len(t) AS tokens, len(g) AS trigrams, len(list_distinct(g)) AS distinct_trigrams, regexp_extract(lower(text), '[a-z]+') AS lead, lang || ' ' || source AS view,
