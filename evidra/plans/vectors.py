@@ -11,7 +11,7 @@ from evidra.operators import edits
 from evidra.operators import probes as G
 from evidra.operators import similarity as S
 from evidra.plans.tables import rounded, table
-from evidra.sources import io
+from evidra.sources import dense, io
 from evidra.streaming import intake
 
 DIM = 64
@@ -48,6 +48,17 @@ def a1_scan_files(spark, sf_dir):
     return rows.unionByName(bad.withColumn("file", F.col("entity_id")).select(part, F.col("other_id").cast("long").alias("line"), *none, "code", "detail"))
 
 
+def a3_dense_vectors(spark, sf_dir):
+    """Embeddings written as dense files with an index and read back by it: sums of each vector, issues with their code."""
+    folder = _shared(spark, sf_dir, "dense")
+    index, left = dense.sink_dense(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", DIM, folder)
+    vectors, found = dense.scan_dense(spark, index, folder, DIM)
+    total = lambda f: F.aggregate("vector", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    rows = vectors.select(F.col("key").cast("string").alias("entity"), F.size("vector").alias("n"), total(lambda x: x).alias("s"), total(lambda x: x * x).alias("ss"), F.lit(None).cast("string").alias("code"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("s", "double"), ("ss", "double"))]
+    return rounded(rows.unionByName(left.unionByName(found).select(F.col("entity_id").alias("entity"), *none, "code")), "s", "ss", digits=4)
+
+
 def a4_sink_table(spark, sf_dir):
     path = _shared(spark, sf_dir, "sink")
     io.sink_table(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path, "json")
@@ -222,6 +233,8 @@ ORACLE_SQL = {
     "a1_scan_jsonl": """SELECT props ->> '$.k' AS k, count(*) AS n FROM events WHERE event_id % 10 > 1 GROUP BY 1 UNION ALL SELECT 'malformed_line', count(*) FROM events WHERE event_id % 10 <= 1""",
     "a1_scan_files": """WITH l AS (SELECT *, event_id // 1000 AS part, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) AS line FROM events WHERE event_id IS NOT NULL), k AS (SELECT *, CASE WHEN event_id % 31 = 5 THEN left(props, length(props) - 1) WHEN event_id % 37 = 7 THEN '[' || props || ']' END AS bad FROM l WHERE event_id % 29 <> 3)
 SELECT part, line, CASE WHEN bad IS NULL THEN event_id END AS event_id, CASE WHEN bad IS NULL THEN event_type END AS event_type, CASE WHEN bad IS NULL THEN value END AS value, CASE WHEN bad IS NOT NULL THEN 'malformed_line' END AS code, left(bad, 80) AS detail FROM k""",
+    "a3_dense_vectors": f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, coalesce(len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NULL)) = 0, false) AS fits FROM embeddings)
+SELECT CAST(vec_id AS VARCHAR) AS entity, CASE WHEN fits THEN len(v) END AS n, CASE WHEN fits THEN round(list_sum(v), 4) END AS s, CASE WHEN fits THEN round(list_sum(list_transform(v, lambda x: x * x)), 4) END AS ss, CASE WHEN NOT fits THEN 'wrong_length' END AS code FROM e""",
     "a4_sink_table": "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1",
     "b_text_features": """WITH w AS (SELECT *, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), g AS (SELECT *, list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) AS g FROM w)
 SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS norm_dataset, len(t) AS tokens, len(g) AS trigrams, len(list_distinct(g)) AS distinct_trigrams, regexp_extract(lower(text), '[a-z]+') AS lead, lang || ' ' || source AS view,

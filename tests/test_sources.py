@@ -4,8 +4,9 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from evidra.sources import io
+from evidra.sources import dense, io
 
 
 @pytest.fixture
@@ -59,3 +60,33 @@ def test_files_packed_otherwise_fail(spark, tmp_path, small_splits):
 def test_missing_file_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         io.scan_jsonl(spark, f"{tmp_path}/none.jsonl", "k long")
+
+
+def test_dense_rows_equal_inline_vectors_and_changes_are_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 40)
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(60)] + [(60, None), (61, [1.0]), (62, [1.0, None, 1.0, 1.0, 1.0])]
+    frame = spark.createDataFrame(rows, "k long, v array<float>")
+    folder = f"{tmp_path}/dense"
+    index, bad = dense.sink_dense(frame.repartition(3), "k", "v", 5, folder)
+    assert sorted(r["entity_id"] for r in bad.collect()) == ["60", "61", "62"]
+    vectors, issues = dense.scan_dense(spark, index, folder, 5)
+    want = {r["k"]: r["v"] for r in frame.where("k < 60").collect()}
+    assert {r["key"]: r["vector"] for r in vectors.collect()} == want
+    assert issues.count() == 0
+
+    place = {r["key"]: (r["file"], r["row"]) for r in index.collect()}
+    changed = place[7]
+    data = bytearray((tmp_path / "dense" / changed[0]).read_bytes())
+    data[changed[1] * 20 + 3] ^= 1
+    (tmp_path / "dense" / changed[0]).write_bytes(bytes(data) + b"xx")
+    other = index.where("key <> 9").unionByName(index.where("key = 11").withColumn("key", F.lit(12_000).cast("long"))).unionByName(index.where("key = 4").withColumns({"row": F.lit(10**6).cast("long"), "key": F.lit(100).cast("long")}))
+    vectors, issues = dense.scan_dense(spark, other.unionByName(index.where("key = 5").withColumns({"file": F.lit("none.f32"), "key": F.lit(101).cast("long")})), f"file://{folder}", 5)
+    assert {(r["code"], r["entity_id"]) for r in issues.collect()} == {("missing_row", "100"), ("missing_row", "101"), ("changed_row", "7"), ("repeated_pointer", "11"), ("unreferenced_row", f"{place[9][0]}:{place[9][1]}")}
+    assert {r["key"]: r["vector"] for r in vectors.collect()} == {k: v for k, v in want.items() if k not in (7, 9)} | {12_000: want[11]}
+
+
+def test_no_dense_rows(spark, tmp_path):
+    index, bad = dense.sink_dense(spark.createDataFrame([], "k string, v array<double>"), "k", "v", 3, f"{tmp_path}/none")
+    vectors, issues = dense.scan_dense(spark, index, f"{tmp_path}/none", 3)
+    assert (vectors.count(), issues.count(), bad.count()) == (0, 0, 0)
