@@ -173,11 +173,12 @@ class _Distances:
         sent = self.docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select("rep"), wanted.count()))
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                b = b.filter(pa.array(sent.value.has(b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))))
-                for part in slices([b]):
-                    s = Sets(part.column("text"))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.node), pa.array([s.values[i:j].tobytes() for i, j in zip(s.at[:-1], s.at[1:], strict=True)], pa.binary())], ["rep", "node", "own"])
+            for part in slices(batches):
+                part = part.filter(pa.array(sent.value.has(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64))))
+                if not part.num_rows:
+                    continue
+                s = Sets(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.node), pa.array([s.values[i:j].tobytes() for i, j in zip(s.at[:-1], s.at[1:], strict=True)], pa.binary())], ["rep", "node", "own"])
 
         # an id that stands there with several texts has several nodes, so both columns are joined
         own = self.docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "rep long, node long, own binary")
@@ -190,8 +191,8 @@ def compare_sets(pairs: DataFrame, own: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, linked = [], []
-            for x, y in zip(b.column("own_a").to_pylist(), b.column("own_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column("own_a"), b.column("own_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)  # views: the batch isn't copied
                 both = int(_inside(x, y).sum())
                 d.append(1 - both / (len(x) + len(y) - both))
                 linked.append(WHOLE * both >= NEAR * (len(x) + len(y) - both))

@@ -83,7 +83,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     columns = docs.columns
 
     def repeat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, 128) for b in batches for at in range(0, b.num_rows, 128)):
             size, taken = (b.column(c).to_numpy() for c in ("size", "taken"))
             whole, rest = taken // np.maximum(size, 1), taken % np.maximum(size, 1)
             rows = pa.RecordBatch.from_arrays(b.column("row").flatten(), columns)

@@ -142,3 +142,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no freed arrays
