@@ -137,7 +137,7 @@ def f8_feature_kinds(spark, sf_dir):
     rows = cases(spark, sf_dir)
     kinds = {
         "words": B.nearest_centroid(rows),
-        "characters": B.nearest_centroid(rows, B.grams(F.col("text"), 3, 5)),
+        "characters": B.nearest_centroid(rows, chars=(3, 5)),
         "shape": B.dense_centroid(rows, T.shape4(F.col("text")), False),
         "field": B.nearest_centroid(rows.withColumn("text", F.col("family")), F.array("text")),
         "first_line": B.nearest_centroid(views(rows)["first_line"]),
