@@ -22,9 +22,9 @@ def b11_render_prompt(spark, sf_dir):
 
 def _tokens(spark, sf_dir):
     """Pieces of five characters as tokens: the first is special, those after the 200th aren't attended."""
-    n = F.length("text")
+    n = F.col("n")  # counted once for each text, not for each of its tokens
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(n / 5).cast("int") - 1)), lambda i: F.struct((i * 5).alias("begin"), F.least(i * 5 + 5, n).alias("end"), (i < 200).alias("attended"), (i == 0).alias("special")))
-    return table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", each.alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).where("n > 0").select("doc_id", each.alias("tokens"))
 
 
 def b14_span_tokens(spark, sf_dir):
