@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from evidra.operators.issues import issues, union
 from evidra.sources.io import settled
 
-
 def annotation_filter(rows: DataFrame, units: DataFrame, *, unit: str, rater: str, label: str, order: list[str], allowed: list[str]) -> DataFrame:
     """The rows with ``code``: the first check they fail (unknown_unit, label_not_allowed, duplicate_rating: not the first of its unit and rater), or null.
 
@@ -91,17 +90,18 @@ def alpha_nominal(rows: DataFrame, unit: str, label: str) -> DataFrame:
 
 
 def alpha_ordinal(rows: DataFrame, unit: str, label: str) -> DataFrame:
-    """As :func:`alpha_nominal` with the ordinal distance (ratings between two categories, ends half) squared. Categories are numbers, about 100 at most."""
-    m = F.count("*").over(Window.partitionBy(unit))
-    many = rows.where(F.col(label).isNotNull()).select(unit, F.col(label).alias("c"), m.alias("m")).where("m >= 2")
-    histogram = many.groupBy("c").count()
+    """As :func:`alpha_nominal` with the ordinal distance (ratings between two categories, ends half) squared. Categories are numbers, about 100 at most; units with equal category counts are worked on as one."""
+    per = rows.where(F.col(label).isNotNull()).groupBy(unit, F.col(label).alias("c")).count()
+    units = per.groupBy(unit).agg(F.sum("count").alias("m"), F.sort_array(F.collect_list(F.struct("c", "count"))).alias("h")).where("m >= 2")  # a unit's own categories
+    alike = settled(units.groupBy("m", "h").agg(F.count("*").alias("units")).withColumn("id", F.monotonically_increasing_id()), "alike")
+    own = alike.select("id", "m", "units", F.explode("h").alias("e")).select("id", "m", "units", "e.*")
+    histogram = own.groupBy("c").agg(F.sum(F.col("count") * F.col("units")).alias("count"))
     below = F.sum("count").over(Window.orderBy("c"))  # one row for each category
     places = histogram.select("c", F.col("count").alias("n"), (below - F.col("count") / 2).alias("at"))
-    own = many.groupBy(unit, "m", "c").count()
     left, right = places.select(F.col("c").alias("l"), F.col("at").alias("l_at"), F.col("n").alias("l_n")), places.select(F.col("c").alias("r"), F.col("at").alias("r_at"), F.col("n").alias("r_n"))
     distance = F.pow(F.col("l_at") - F.col("r_at"), 2)
-    pairs = own.select(unit, "m", F.col("c").alias("l"), F.col("count").alias("a")).join(own.select(unit, F.col("c").alias("r"), F.col("count").alias("b")), unit).where("l < r")
-    seen = pairs.join(F.broadcast(left), "l").join(F.broadcast(right), "r").agg(F.sum(2 * F.col("a") * F.col("b") * distance / (F.col("m") - 1)).alias("d"))
+    pairs = own.select("id", "m", "units", F.col("c").alias("l"), F.col("count").alias("a")).join(own.select("id", F.col("c").alias("r"), F.col("count").alias("b")), "id").where("l < r")
+    seen = pairs.join(F.broadcast(left), "l").join(F.broadcast(right), "r").agg(F.sum(2 * F.col("units") * F.col("a") * F.col("b") * distance / (F.col("m") - 1)).alias("d"))
     chance = left.crossJoin(F.broadcast(right)).where("l < r").agg(F.sum(2 * F.col("l_n") * F.col("r_n") * distance).alias("s"))
     n = F.col("n")
     total = histogram.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
