@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.operators.baselines import ranked
 from evidra.operators.issues import issues, union
 from evidra.sources.io import settled
 
@@ -182,7 +183,8 @@ def freeze_decision(summary: DataFrame, agreement: float, alpha: float, abstenti
 
 
 def rater_order(raters: DataFrame, units: DataFrame, rater: str, unit: str, salt: str) -> DataFrame:
-    """A stable order of the units for each rater (a bounded list), by sha256 of salt, rater and unit."""
-    both = raters.select(rater).distinct().crossJoin(units.select(unit).distinct())
+    """A stable order of the units for each rater, by sha256 of salt, rater and unit: ranks come from ranges of the digest, so no task sorts a rater's units alone."""
+    own = settled(raters.select(rater).distinct(), "raters")
+    both = units.select(unit).distinct().withColumn("_part", F.pmod(F.xxhash64(unit), F.lit(64))).repartition(64, "_part").drop("_part").crossJoin(F.broadcast(own))
     key = F.sha2(F.concat_ws(":", F.lit(salt), F.col(rater).cast("string"), F.col(unit).cast("string")), 256)
-    return both.withColumn("position", F.row_number().over(Window.partitionBy(rater).orderBy(key)))
+    return ranked(both, [rater], key, unit, name="position").select(rater, unit, F.col("position").cast("int").alias("position"))

@@ -1,8 +1,11 @@
-"""Agreement over many units: equal units are one row."""
+"""Agreement over many units: equal units are one row, and no task ranks all units of a rater."""
+
+import hashlib
 
 import pytest
 
 from evidra.operators import agreement as A
+from evidra.operators import baselines as B
 
 
 def _noted(monkeypatch, module, seen):
@@ -26,3 +29,13 @@ def test_units_with_equal_counts_are_one_row(spark, monkeypatch):
     expected = sum(2 * n[x] * n[y] * (at[x] - at[y]) ** 2 for x in n for y in n if x < y) / (600 * 599)
     assert got["n"] == 600 and got["alpha"] == pytest.approx(1 - observed / expected)
     assert seen["alike"].count() == 2
+
+
+def test_order_of_a_raters_units_comes_from_ranges(spark, monkeypatch):
+    seen = {}
+    _noted(monkeypatch, B, seen)
+    raters, units = spark.createDataFrame([(1,), (2,), (2,)], "rater int"), spark.createDataFrame([(u,) for u in range(300)], "unit long")
+    got = {(r["rater"], r["unit"]): r["position"] for r in A.rater_order(raters, units, "rater", "unit", "s").collect()}
+    digest = lambda r, u: hashlib.sha256(f"s:{r}:{u}".encode()).hexdigest()
+    assert got == {(r, u): i for r in (1, 2) for i, u in enumerate(sorted(range(300), key=lambda u: digest(r, u)), 1)}
+    assert seen["ranges"].count() > 500
