@@ -19,7 +19,7 @@ def norm_candidate(text: Column) -> Column:
 
 def norm_surface(text: Column) -> Column:
     """Lower case, punctuation becomes spaces, white space collapsed; letters of all scripts stay."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_\\s]", " "), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_]+", " "))
 
 
 def norm_chars(text: Column) -> Column:

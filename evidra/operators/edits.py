@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.sources.io import attach, settled
 
+_BLOCK = 1 << 20  # characters
+
 
 def fingerprints(text: str, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct least gram hashes of the windows of ``window`` characters, and how many windows have each. Equal windows of two texts have equal hashes; a shorter text has none."""
@@ -20,17 +21,21 @@ def fingerprints(text: str, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     count = len(codes) - gram + 1
     if count < wide:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    hashed = np.zeros(count, np.uint64)
-    for i in range(gram):
-        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + count]
+    hashed, size = codes, 1
+    while size * 2 <= gram:
+        hashed, size = hashed[:-size] * np.uint64(0x9E3779B97F4A7C15) + (hashed[size:] ^ (hashed[size:] >> np.uint64(29))), size * 2
+    if size < gram:
+        hashed = hashed[: size - gram] * np.uint64(0xC2B2AE3D27D4EB4F) + hashed[gram - size :]
     hashed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     hashed ^= hashed >> np.uint64(29)
     least, size = hashed, 1
     while size * 2 <= wide:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
     last = count - wide + 1
-    values, weights = np.unique(np.minimum(least[:last], least[wide - size :][:last]).view(np.int64), return_counts=True)
-    return values, weights
+    least = np.minimum(least[:last], least[wide - size :][:last]).view(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    values, place = np.unique(least[starts], return_inverse=True)
+    return values, np.bincount(place, np.diff(starts, append=last)).astype(np.int64)
 
 
 def _run(a: str, b: str, x: int, y: int) -> int:
@@ -87,8 +92,10 @@ def near_text_pairs(classes: DataFrame, ratio: float = 0.995) -> DataFrame:
     """Pairs a < b of distinct texts (class_id, t) with 2 * M / (n + m) >= ``ratio`` (from 0.98 to below 1), M the length of their longest common subsequence: a, b, distance, ratio. Exact.
 
     d = n + m - 2 * M edits are allowed in proportion to length. Each edit touches at most ``window`` windows of a text, so texts within the ratio share the least gram hash of all but ``window`` * d
-    windows: the rarest hash that they share is among the rarest hashes of each text whose predecessors weigh no more than that (weight: windows with that hash). These are joined, rarest first, so what
-    many texts quote is met by those alone that have little else. A window of a quarter of 1 / (1 - ratio) characters leaves some windows untouched in every text that may have an edit at all.
+    windows: the rarest hash that they share is among the rarest hashes of each text whose predecessors weigh no more than that (weight: windows with that hash). So what many texts quote is met by those
+    alone that have little else. The smallest owner of such a hash names its region, and a region has the owners of all its hashes: near texts have one in common, and many hashes of like texts become one
+    region. A text goes to its few regions, not to its pairs; regions of more than 2^20 characters are dealt to blocks that meet two by two. A pair is compared in its first common region, if counts of its
+    characters allow it. A window of a quarter of 1 / (1 - ratio) characters leaves some windows untouched in every text that may have an edit at all.
     """
     if not 0.98 <= ratio < 1:
         raise ValueError("ratio must be from 0.98 to below 1")
@@ -104,25 +111,50 @@ def near_text_pairs(classes: DataFrame, ratio: float = 0.995) -> DataFrame:
     alone = F.col("n") - window + 1 - F.sum("w").over(own)  # windows whose hash no other text has: the rarest of all
     ranked = attach(prints, often, ["g"]).withColumn("before", before + alone)
     posts = settled(ranked.where(F.col("before") <= window * F.floor(F.col("n") * (2 * share / ratio) + 1e-9)).select("class_id", "n", "g"), "posts")
-    x, y = posts.select(F.col("class_id").alias("a"), F.col("n").alias("n_a"), "g"), posts.select(F.col("class_id").alias("b"), F.col("n").alias("n_b"), "g")
-    fits = F.abs(F.col("n_a") - F.col("n_b")) <= share * (F.col("n_a") + F.col("n_b")) + 1e-9
-    candidates = settled(x.join(y, "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "candidates")
-
-    def distances(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(a: str, b: str) -> int:
-            most = int(share * (len(a) + len(b)) + 1e-9)
-            (va, wa), (vb, wb) = fingerprints(a, window, gram), fingerprints(b, window, gram)
-            lost = max(wa[~np.isin(va, vb, assume_unique=True)].sum(), wb[~np.isin(vb, va, assume_unique=True)].sum())
-            return -1 if lost > window * most else edit_distance(a, b, most)
-
-        return pd.Series([one(a, b) for a, b in zip(x, y, strict=True)], dtype="int64")
-
-    side = lambda name, t: rows.select(F.col("class_id").alias(name), F.col("t").alias(t))
-    both = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    found = both.select("a", "b", (F.length("x") + F.length("y")).alias("size"), F.pandas_udf(distances, "long")("x", "y").alias("distance")).where("distance >= 0")
+    heads = settled(posts.groupBy("g").agg(F.min("class_id").alias("region"), F.count("*").alias("owners")).where("owners > 1").drop("owners"), "heads")
+    owners = attach(posts, heads, ["g"])
+    owners = settled(owners.select("class_id", "n", "region").distinct(), "owners")
+    blocks = F.ceil(F.sum("n") / _BLOCK).cast("int").alias("blocks")
+    regions = settled(owners.groupBy("region").agg(F.count("*").alias("texts"), blocks).where("texts > 1").drop("texts"), "regions")
+    own = attach(owners, regions, ["region"]).groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("region", "blocks"))).alias("own"))
+    seats = rows.join(own, "class_id").select("class_id", "t", F.col("own.region").alias("all"), F.explode("own").alias("o")).select("class_id", "t", "all", F.col("o.region"), F.col("o.blocks"))
+    mine = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    seats = seats.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = seats.select("class_id", "t", "all", "region", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def near(cell: pa.Table) -> pa.Table:
+        return _near(cell, share)
+
+    found = cells.groupBy("region", "x", "y").applyInArrow(near, f"a {kind}, b {kind}, distance long, size long")
     return found.select("a", "b", "distance", (1 - F.col("distance") / F.col("size")).alias("ratio"))
 
 
+def _near(table: pa.Table, share: float) -> pa.Table:
+    """Near pairs of a region's block, or of two blocks, whose first common region this is."""
+    region, cross = table.column("region")[0].as_py(), table.column("x")[0].as_py() != table.column("y")[0].as_py()
+    texts = table.column("t").to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    texts = [texts[i] for i in order]
+    ids, every, block = ([values[i] for i in order] for values in (table.column(c).to_pylist() for c in ("class_id", "all", "block")))
+    every, block = [frozenset(x) for x in every], np.array(block)
+    n = np.array([len(t) for t in texts])
+    letters = np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) & 127, minlength=128) for t in texts]).astype(np.int32)
+    found = []
+    for i in range(len(texts) - 1):
+        end = int(np.searchsorted(n, n[i] * (1 + share) / (1 - share) + 1, "right"))
+        most = (share * (n[i] + n[i + 1 : end]) + 1e-9).astype(np.int64)
+        fits = np.abs(letters[i + 1 : end] - letters[i]).sum(1) <= most  # an edit changes one count by one
+        if cross:
+            fits &= block[i + 1 : end] != block[i]
+        for at in np.flatnonzero(fits).tolist():
+            j = i + 1 + at
+            if min(every[i] & every[j]) == region and (distance := edit_distance(texts[i], texts[j], int(most[at]))) >= 0:
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j]), distance, int(n[i] + n[j])))
+    kind = table.schema.field("class_id").type
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (kind, kind, pa.int64(), pa.int64()), strict=True)], names=["a", "b", "distance", "size"])
+
+
 def near_text_links(df: DataFrame, key: str, text: str, group: str, ratio: float = 0.995) -> DataFrame:
     """One row for each text that isn't empty: ``key``, class_id (smallest key with the same text), n_equal and n_near (rows of other groups with the same or a near text), best (their highest ratio, null
     without any). Copies aren't expanded into pairs: links between classes meet counts by class and group. A null group is a group of its own."""

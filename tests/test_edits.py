@@ -127,3 +127,30 @@ def test_query_over_whole_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["class_id"], r["n_equal"], r["n_near"]) for r in vectors.QUERIES["c16_near_texts"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, 1, 0), 2: (1, 1, 1), 3: (3, 0, 1), 4: (4, 0, 0), 5: (5, 0, 0)}
+
+
+def test_like_texts_go_to_regions_and_not_to_pairs(spark, monkeypatch):
+    """Texts that share rare passages but aren't near are dealt by region: no table has a row for each pair, blocks of a region meet two by two, and a pair comes once."""
+    seen = {}
+
+    def note(df, name, kept=edits.settled):
+        seen[name] = kept(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(edits, "settled", note)
+    monkeypatch.setattr(edits, "_BLOCK", 20_000, raising=False)
+    rng = random.Random(8)
+    base = written(rng, 220)
+    texts = [changed(rng, base, 14) for _ in range(50)]
+    texts += [changed(rng, t, 2) for t in texts[:12]]
+    rows = [(i, t, "pq"[i % 2]) for i, t in enumerate(texts)]
+    members, classes = edits.text_classes(spark.createDataFrame(rows, "k long, body string, family string"), "k", "body", "family")
+    got = [(r["a"], r["b"], r["distance"]) for r in edits.near_text_pairs(classes).collect()]
+    want = {}
+    for i, t in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            d = len(t) + len(texts[j]) - 2 * common(t, texts[j])
+            if d <= int(0.005 * (len(t) + len(texts[j])) + 1e-9):
+                want[i, j] = d
+    assert len(want) >= 12 and len(got) == len(want) and {(a, b): d for a, b, d in got} == want
+    assert max(df.count() for name, df in seen.items() if name not in ("prints", "often", "posts")) <= 10 * len(texts)
