@@ -26,13 +26,14 @@ def annotation_filter(rows: DataFrame, units: DataFrame, *, unit: str, rater: st
     return rows.withColumn("code", F.coalesce("_code", F.when(F.col("_n") > 1, "duplicate_rating"))).drop("_u", "_known", "_code", "_n")
 
 
-def annotation_checks(rows: DataFrame, cases: DataFrame, schema_ok: Column, allowed: list[str], expected: dict[str, object]) -> tuple[DataFrame, DataFrame]:
-    """Issues of annotation records, and the rows that pass. ``rows``: file, line (rows of one file and line are one record), rater_id, annotation_id, case_id, label, session_id, case_sha256 and the columns of ``expected``; ``cases``: case_id, case_sha256, each case once.
+def annotation_checks(rows: DataFrame, cases: DataFrame, schema_ok: Column, allowed: list[str], expected: dict[str, object], keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Issues of annotation records, and the rows that pass (their columns ``keep``, else all). ``rows``: file, line (rows of one file and line are one record), rater_id, annotation_id, case_id, label, session_id, case_sha256 and the columns of ``expected``; ``cases``: case_id, case_sha256, each case once.
 
     In order: mixed_or_missing_rater_file (the file's rows go), duplicate_rater_file (a rater's files after the first; rows stay), schema_invalid, duplicate_annotation_id and unknown_case (such rows go);
     missing_session_id, invalid_case_hash, invalid_<column> of ``expected`` (all that hold are named); invalid_label; duplicate_case_rater (a row that passes stands before it). What has gone doesn't count for later checks. First means by file, then line.
-    A null in a checked column fails its check; an empty table has no issues.
+    A null in a checked column fails its check; an empty table has no issues. What a row's own columns say is settled before anything is shuffled, and hashes of cases are shuffled once: name ``keep``, or all columns go along.
     """
+    keep = rows.columns if keep is None else keep
     at = F.struct("file", "line")
     whole = F.coalesce(F.length("rater_id") > 0, F.lit(False))
     files = rows.groupBy("file").agg((F.every(whole) & (F.min("rater_id") == F.max("rater_id"))).alias("one"), F.min("rater_id").alias("rater"))
@@ -41,24 +42,30 @@ def annotation_checks(rows: DataFrame, cases: DataFrame, schema_ok: Column, allo
     again = files.where("one").join(firsts, "rater").where("file <> first")
     read = rows.join(files.where("one").select("file"), "file").withColumn("_ok", F.coalesce(schema_ok, F.lit(False)))
     ids = read.where("_ok").groupBy("annotation_id").agg(F.min(at).alias("_first"))
+    fails = {"missing_session_id": F.length("session_id") > 0, **{f"invalid_{c}": F.col(c) == F.lit(v) for c, v in expected.items()}}
+    named = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in fails.items())))
+    label = F.coalesce(F.col("label").isin(allowed), F.lit(False))
+    carried = list(dict.fromkeys(["file", "line", "case_id", "rater_id", *keep]))
+    read = read.select(*carried, F.col("annotation_id").alias("_id"), F.col("case_sha256").alias("_claimed"), "_ok", named.alias("_bad"), label.alias("_label"))
     known = cases.select("case_id", F.col("case_sha256").alias("_sha"), F.lit(True).alias("_known"))
-    read = read.join(ids, "annotation_id", "left").join(known, "case_id", "left")
+    same = F.coalesce(F.col("_claimed") == F.col("_sha"), F.lit(False))
+    read = read.join(known, "case_id", "left").withColumn("_bad", F.when(same, F.col("_bad")).otherwise(F.array_append("_bad", F.lit("invalid_case_hash")))).drop("_claimed", "_sha")
+    read = read.join(ids.withColumnRenamed("annotation_id", "_id"), "_id", "left")
     gone = F.when(~F.col("_ok"), "schema_invalid").when(F.coalesce(at > F.col("_first"), F.lit(False)), "duplicate_annotation_id").when(F.col("_known").isNull(), "unknown_case")
-    fails = {"missing_session_id": F.length("session_id") > 0, "invalid_case_hash": F.col("case_sha256") == F.col("_sha"), **{f"invalid_{c}": F.col(c) == F.lit(v) for c, v in expected.items()}}
-    named = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), code) for code, ok in fails.items())))
-    read = read.withColumns({"_gone": gone, "_bad": named, "_label": F.coalesce(F.col("label").isin(allowed), F.lit(False))})
     passing = F.col("_gone").isNull() & F.col("_label") & (F.size("_bad") == 0)
-    read = settled(read.withColumn("_passing", passing), "records")
+    read = settled(read.withColumn("_gone", gone).withColumn("_passing", passing).select(*carried, "_gone", "_bad", "_label", "_passing"), "records")
     seen = read.where("_passing").groupBy("case_id", "rater_id").agg(F.min(at).alias("_seen"))
-    read = read.join(seen, ["case_id", "rater_id"], "left").withColumn("_twice", F.coalesce(F.col("_label") & (at > F.col("_seen")), F.lit(False)))
-    last = F.array_compact(F.array(F.when(~F.col("_label"), "invalid_label"), F.when(F.col("_twice"), "duplicate_case_rater")))
-    codes = read.select("file", "line", F.explode(F.when(F.col("_gone").isNotNull(), F.array("_gone")).otherwise(F.concat("_bad", last))).alias("code"))
+    rated = read.where(F.col("_gone").isNull() & F.col("_label")).select(*carried, "_passing").join(seen, ["case_id", "rater_id"], "left").withColumn("_twice", F.coalesce(at > F.col("_seen"), F.lit(False)))
+    own = F.when(F.col("_gone").isNotNull(), F.array("_gone")).when(F.col("_label"), F.col("_bad")).otherwise(F.array_append("_bad", F.lit("invalid_label")))
+    codes = read.select("file", "line", F.explode(own).alias("code"))
+    twice = rated.where("_twice")
     found = [
         issues(files.where("not one"), "annotations", "mixed_or_missing_rater_file", "rater_id", F.col("file")),
         issues(again, "annotations", "duplicate_rater_file", "rater_id", F.col("file"), F.col("first")),
         issues(codes, "annotations", F.col("code"), "", F.col("file"), F.col("line")),
+        issues(twice, "annotations", "duplicate_case_rater", "", F.col("file"), F.col("line")),
     ]
-    return union(found), read.where("_passing and not _twice").select(rows.columns)
+    return union(found), rated.where("_passing and not _twice").select(*keep)
 
 
 def unit_counts(rows: DataFrame, unit: str, label: str) -> DataFrame:

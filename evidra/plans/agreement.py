@@ -8,6 +8,7 @@ from evidra.operators import agreement as A
 from evidra.plans.tables import RATINGS, ratings, rounded, table
 
 _ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+_KEEP = ["case_id", "rater_id", "label", "file", "line"]
 
 
 def _units(spark, sf_dir):
@@ -32,7 +33,7 @@ def _records(spark, sf_dir):
 
 def _checked(spark, sf_dir):
     known = _units(spark, sf_dir).where("unit % 50 <> 0").select(F.col("unit").alias("case_id"), F.md5(F.col("unit").cast("string")).alias("case_sha256"))
-    return A.annotation_checks(_records(spark, sf_dir), known, F.col("quantity") != 7, ["A", "N"], {"batch": "b1", "view": "v1", "machine": False, "guide": "g1"})
+    return A.annotation_checks(_records(spark, sf_dir), known, F.col("quantity") != 7, ["A", "N"], {"batch": "b1", "view": "v1", "machine": False, "guide": "g1"}, _KEEP)
 
 
 def d0_annotation_checks(spark, sf_dir):
@@ -42,7 +43,7 @@ def d0_annotation_checks(spark, sf_dir):
 
 def d0_checked_annotations(spark, sf_dir):
     """What passes, as the statistics take it."""
-    return _checked(spark, sf_dir)[1].select("case_id", "rater_id", "label", "file", "line")
+    return _checked(spark, sf_dir)[1]
 
 
 def d1_pairwise_agreement(spark, sf_dir):

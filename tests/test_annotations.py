@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from evidra.operators import agreement
 from evidra.operators.agreement import annotation_checks
 
 SCHEMA = "file string, line long, rater_id string, annotation_id string, case_id string, label string, session_id string, case_sha256 string, batch string"
@@ -42,5 +43,21 @@ def test_each_code_in_order(spark):
     assert kept == [("a", 1), ("a", 7), ("f", 1)]
 
 
+def test_written_records_carry_what_is_kept_and_no_hashes(spark, monkeypatch):
+    seen = {}
+
+    def note(df, name, kept=agreement.settled):
+        seen[name] = kept(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(agreement, "settled", note)
+    cases = spark.createDataFrame([("c1", "h1")], "case_id string, case_sha256 string")
+    frame = spark.createDataFrame([("a", i, "r1", str(i), "c1", "yes", "s", "h%d" % (i % 2), "b") for i in range(4)], SCHEMA)
+    found, kept = annotation_checks(frame, cases, F.lit(True), ["yes"], {"batch": "b"}, keep=["label"])
+    assert sorted((r["other_id"], r["code"]) for r in found.collect()) == [("0", "invalid_case_hash"), ("2", "duplicate_case_rater"), ("2", "invalid_case_hash"), ("3", "duplicate_case_rater")]
+    assert kept.columns == ["label"] and kept.count() == 1
+    assert {"case_sha256", "session_id", "batch"}.isdisjoint(seen["records"].columns)
+
+
 def test_empty(spark):
     assert run(spark, []) == ([], [])
