@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidra.operators.issues import issues, union
 
+_ROWS = 1_000_000
+
 
 def assign_arms(cases: DataFrame, case: str, arms: list[str], seed: str) -> DataFrame:
     """``packet`` (12 hex digits), case, blind label (A, B, ...) and arm: arms in the order of sha256(seed:case:arm)."""
@@ -30,20 +32,26 @@ def split_assign(df: DataFrame, domain: str, family: str, k: int) -> DataFrame:
 
 
 def experiment_integrity(packets: DataFrame, responses: DataFrame, ratings: DataFrame, least_raters: int, top_score: int) -> DataFrame:
-    """Issues of packets (packet, blind), responses (response, packet, blind) and ratings (response, rater, score): all are listed."""
+    """Issues of packets (packet, blind), responses (response, packet, blind) and ratings (response, rater, score): all are listed.
+
+    Rows are dealt by key to as many partitions as they need (``_ROWS`` each) before they are counted or joined, so no task's tables grow with the input.
+    """
+    parts = sum(df.count() for df in (packets, responses, ratings)) // _ROWS + 1
     slot = ["packet", "blind"]
-    many = responses.groupBy(*slot).agg(F.count("*").alias("n"))
-    both = packets.select(*slot).distinct().withColumn("asked", F.lit(True)).join(many, slot, "full_outer")
-    place = F.concat_ws("/", *slot)
-    raters = ratings.groupBy("response").agg(F.count_distinct("rater").alias("raters"))
-    known = responses.select("response").distinct()
+    asked = packets.select(*slot, F.lit(True).alias("asked"), F.lit(0).alias("n"))
+    given = responses.select(*slot, F.lit(False).alias("asked"), F.lit(1).alias("n"))
+    both = asked.unionByName(given).repartition(parts, *slot).groupBy(*slot).agg(F.bool_or("asked").alias("asked"), F.sum("n").alias("n"))
+    alone = F.col("packet").isNull() | F.col("blind").isNull()  # a null meets nothing
+    codes = {"missing_response": F.col("asked") & ((F.col("n") == 0) | alone), "unknown_packet": (F.col("n") > 0) & (~F.col("asked") | alone), "repeated_response": F.col("n") > 1}
+    each = F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(code).alias("code"), F.when(F.lit(code == "repeated_response"), F.col("n")).alias("detail"))) for code, bad in codes.items())))
+    places = both.select(F.concat_ws("/", *slot).alias("place"), F.explode(each).alias("e"))
+    known = responses.select("response").repartition(parts, "response").groupBy("response").agg(F.count("*").alias("n"))
+    raters = ratings.select("response", "rater").repartition(parts, "response", "rater").distinct().repartition(parts, "response").groupBy("response").agg(F.count("rater").alias("raters"))
     return union([
-        issues(both.where("n is null"), "experiment", "missing_response", "packet", place),
-        issues(both.where("asked is null"), "experiment", "unknown_packet", "packet", place),
-        issues(both.where("n > 1"), "experiment", "repeated_response", "packet", place, detail=F.col("n")),
-        issues(responses.groupBy("response").count().where("count > 1"), "experiment", "duplicate_response", "response", F.col("response")),
+        issues(places, "experiment", F.col("e.code"), "packet", F.col("place"), detail=F.col("e.detail")),
+        issues(known.where("n > 1"), "experiment", "duplicate_response", "response", F.col("response")),
         issues(known.join(raters, "response", "left").where(F.coalesce("raters", F.lit(0)) < least_raters), "experiment", "too_few_raters", "response", F.col("response")),
-        issues(ratings.join(known, "response", "left_anti"), "experiment", "unknown_response", "response", F.col("response"), F.col("rater")),
+        issues(ratings.select("response", "rater").repartition(parts, "response").join(known, "response", "left_anti"), "experiment", "unknown_response", "response", F.col("response"), F.col("rater")),
         issues(ratings.where(~F.coalesce(F.col("score").between(0, top_score), F.lit(False))), "experiment", "score_range", "score", F.col("response"), F.col("rater")),
     ])
 
