@@ -8,10 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evidra.llm.words import mix
 
+#: Words of a chunk, which is a row to the driver, and places that a task packs at a time.
+CHUNK, HELD = 1 << 13, 1 << 20
+
 
 @dataclass(frozen=True)
 class Bloom:
@@ -33,15 +35,38 @@ def positions(keys: np.ndarray, words: int, probes: int) -> Iterator[np.ndarray]
 
 
 def build(keys: DataFrame, n: int, bits_per_key: int = 12, probes: int = 6, most_words: int = 1 << 23) -> Bloom:
-    """A filter of the first column of ``keys`` (long), sized for ``n`` keys but never above ``most_words`` words: beyond, more other keys pass."""
+    """A filter of the first column of ``keys`` (long), sized for ``n`` keys but never above ``most_words`` words: beyond, more other keys pass.
+
+    Tasks send the places of their keys, packed by chunk of the filter, and a chunk is filled by one task: the driver gets its bytes, never a row for each word."""
     words = max(16, min(most_words, n * bits_per_key // 64 + 1))
 
-    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(places: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.unique(np.concatenate(places))
+        chunk = at // np.uint64(64 * CHUNK)
+        some, start = np.unique(chunk, return_index=True)
+        inside = np.split((at - chunk * np.uint64(64 * CHUNK)).astype(np.uint32), start[1:])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([x.tobytes() for x in inside], pa.binary())], ["chunk", "places"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            at = np.unique(np.concatenate([*positions(b.column(0).to_numpy(zero_copy_only=False), words, probes), np.zeros(0, np.uint64)]))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "mask"])
+            if b.num_rows:
+                held += positions(b.column(0).to_numpy(zero_copy_only=False), words, probes)
+                size += probes * b.num_rows
+            if size > HELD:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def fill(group: pa.Table) -> pa.Table:
+        bits = np.zeros(64 * CHUNK, bool)
+        for x in group["places"]:
+            bits[np.frombuffer(x.as_buffer(), np.uint32)] = True
+        return pa.table([pa.array([group["chunk"][0].as_py()], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
 
-    got = keys.mapInArrow(masks, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(words, np.int64)
-    out[got["word"].to_numpy(dtype=np.int64)] = got["mask"].to_numpy(dtype=np.int64)
-    return Bloom(out.view(np.uint64), probes)
+    out = np.zeros(-(-words // CHUNK) * CHUNK, np.uint64)
+    for b in keys.mapInArrow(send, "chunk int, places binary").groupBy("chunk").applyInArrow(fill, "chunk int, bits binary").toArrow().to_batches():
+        for chunk, bits in zip(b.column("chunk").to_pylist(), b.column("bits"), strict=True):
+            out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(bits.as_buffer(), np.uint64)
+    return Bloom(out[:words], probes)

@@ -313,6 +313,17 @@ def _refine(regions: DataFrame, sets: DataFrame, parts: DataFrame, frequent: Bro
     return written(links.unionByName(found), "links"), written(deeper, "regions")
 
 
+def _in_regions(owned: DataFrame, regions: DataFrame) -> DataFrame:
+    """Rows of owned shingles that are regions."""
+    shared = owned.sparkSession.sparkContext.broadcast(bloom.build(regions, regions.count()))
+
+    def in_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.has(b.column("s").to_numpy())))
+
+    return owned.select("s", "node", "at", "n", "is_rare").mapInArrow(in_region, "s long, node long, at int, n long, is_rare boolean").join(regions, "s")
+
+
 def near_documents(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id.
 
@@ -340,14 +351,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     reps = written(reps.join(texts.select(F.col("doc_id").alias("rep"), "node", "buckets").dropDuplicates(["rep", "node"]), ["rep", "node"]), "nodes")
     owned = texts.where("n > 0").select("node", "n", "rare", F.posexplode("owned").alias("at", "s")).select("node", "s", "at", "n", (F.col("at") < F.col("rare")).alias("is_rare"))
     regions = written(owned.groupBy("s").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("s"), "regions")
-    shared = spark.sparkContext.broadcast(bloom.build(regions, regions.count()))
-
-    def in_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(shared.value.has(b.column("s").to_numpy())))
-
-    members = owned.select("s", "node", "at", "n", "is_rare").mapInArrow(in_region, "s long, node long, at int, n long, is_rare boolean")
-    members = written(members.join(regions, "s").distinct().select("s", "node", "at", "n", "is_rare"), "members")
+    members = written(_in_regions(owned, regions).distinct().select("s", "node", "at", "n", "is_rare"), "members")
     distances = _Distances(known, reps.select("node", "n", "rep", "buckets"))
     met = members.groupBy("node").agg(F.count("*").alias("degree"), F.count_if("is_rare").alias("met"))
     met = written(met, "met")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidra.llm import jaccard_join, lm_score, mixing, quality_classifier, quality_rules, rans, sentence_pieces, token_counts, token_files, url_filter
+from evidra.llm import bloom, jaccard_join, lm_score, mixing, quality_classifier, quality_rules, rans, sentence_pieces, token_counts, token_files, url_filter
 from evidra.llm.common import table
 from evidra.llm.components import connected_components
 from evidra.llm.embed_dedup import near_vectors
@@ -357,6 +357,22 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_filter_comes_to_the_driver_in_chunks(spark, monkeypatch):
+    """The driver gets a row for each chunk of a filter and not for each word; all places of all keys are set and no others."""
+    frame, got = type(spark.range(0)), []
+    monkeypatch.setattr(frame, "toPandas", lambda df: pytest.fail("rows of a filter came to the driver one by one"))
+    monkeypatch.setattr(frame, "toArrow", lambda df, kept=frame.toArrow: got.append(kept(df)) or got[-1])
+    monkeypatch.setattr(bloom, "HELD", 5_000, raising=False)
+    for n in (0, 1, 60_000):
+        own = bloom.build(spark.range(n).select(F.xxhash64("id").alias("s")), n)
+        keys = spark.range(n).select(F.xxhash64("id").alias("s")).collect()
+        want = np.zeros(len(own.words), np.uint64)
+        for at in bloom.positions(np.array([r["s"] for r in keys], np.int64), len(own.words), own.probes):
+            np.bitwise_or.at(want, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        assert (own.words == want).all() and own.words.any() == (n > 0)
+    assert max(t.num_rows for t in got) == 2  # 11,251 words
+
+
 def test_jaccard_join_against_all_pairs(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
